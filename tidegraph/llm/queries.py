@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from . import oracles
+from .op1_substring_dedup import op1_substring_dedup
+from .op10_ngram_jaccard import op10_ngram_jaccard
 from .op6_token_counts import op6_token_counts
 from .op8_packing import op8_packing
 from .op9_quality_rules import op9_quality_rules
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES = {
+    "op1_substring_dedup": oracles.OP1,
     "op9_quality_rules": oracles.OP9,
+    "op10_ngram_jaccard": oracles.OP10,
 }
