@@ -51,3 +51,22 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE r.x = w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id
 """
+
+_SAFE = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
+OP2 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length({_SAFE.format("role")}) + length({_SAFE.format("text")}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP7 = """
+WITH d AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h, strlen(coalesce(text, '')) AS size FROM documents),
+p AS (SELECT doc_id, k, h >> (60 - k) AS prefix, sum(size) OVER (PARTITION BY k, h >> (60 - k)) AS bytes FROM d, (SELECT unnest(range(0, 21)) AS k)),
+f AS (SELECT doc_id, min(k) AS k FROM p WHERE bytes <= 33554432 GROUP BY doc_id)
+SELECT p.doc_id, CASE WHEN p.k = 0 THEN '' ELSE right(lpad(bin(prefix), 20, '0'), p.k) END AS shard, p.k::INT AS shard_depth, bytes::BIGINT AS shard_bytes
+FROM p JOIN f ON f.doc_id = p.doc_id AND f.k = p.k
+"""
