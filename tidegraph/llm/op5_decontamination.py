@@ -41,7 +41,7 @@ SPAN, STEP = 24, 8
 BLOCK = 2000
 RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
-COSINE, SLACK = 0.55, 0.9
+COSINE, SLACK = 0.47, 0.95
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 
