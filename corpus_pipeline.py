@@ -39,9 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all packed sequences."""
-    import public_tokenizers
-
-    return op8_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op8_packing.pack_documents(docs)
 
 
 STAGES = [

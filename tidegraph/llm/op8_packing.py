@@ -74,7 +74,7 @@ class OpenWindows:
             yield self.size - free, self.items[key]
 
 
-def encoder(path: str):
+def encoder(path: str, ranks: tuple[str, str] | None = None):
     """text -> ids as bytes, four little-endian bytes each."""
 
     def packed(ids: list[int]) -> bytes:
@@ -83,7 +83,7 @@ def encoder(path: str):
             a.byteswap()
         return a.tobytes()
 
-    memo = Memo(path, packed)
+    memo = Memo(path, packed, ranks)
 
     def ids(text: str) -> bytes:
         return memo.whole(text) if ODD_SPACE.search(text) else b"".join(memo.of(leading_chunks(text)))
@@ -91,9 +91,10 @@ def encoder(path: str):
     return ids
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, most_open: int = OPEN, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, most_open: int = OPEN, keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """One row per piece: PIECE's columns, and with ``keep_ids`` its ids as binary.
 
+    ``ranks`` names the vocabulary's rank file and pattern, a faster way to the same ids.
     A null text is empty and still yields its end id. Repeated rows and repeated
     doc_ids are packed each for itself. An empty table gives no rows.
     """
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, most_open: int = OPEN, ke
     end = array("I", [END_ID]).tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, open_, task, number = encoder(path), OpenWindows(size, most_open), TaskContext.get().partitionId(), 0
+        ids_of, open_, task, number = encoder(path, ranks), OpenWindows(size, most_open), TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
 
         def close(items: list, used: int) -> None:
@@ -162,7 +163,12 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, most_open: int = OPEN, ke
     return closed.unionByName(merged).drop("used", "task")
 
 
-def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """With the production vocabulary."""
+    import public_tokenizers as p
+
+    return pack(docs, p.path("byte_bpe_50k.json"), ranks=(p.path("byte_bpe_50k.tiktoken"), p.PATTERN))
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -34,16 +34,39 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def rank_encoder(path: str, pattern: str):
+    """The byte-level vocabulary's rank file: the same ids as its JSON file for text without special strings."""
+    if path not in _loaded:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _loaded[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[path].encode_ordinary
+
+
 class Memo:
-    """``value(ids)`` of any chunk, encoded at most once while it is kept."""
+    """``value(ids)`` of any chunk, encoded at most once while it is kept.
+
+    With ``ranks`` (rank file, pattern), chunks that cannot hold a special string
+    go through the faster rank encoder.
+    """
 
-    def __init__(self, path: str, value):
-        self.encode = tokenizer(path).encode_batch
+    def __init__(self, path: str, value, ranks: tuple[str, str] | None = None):
+        self.batch = tokenizer(path).encode_batch_fast
+        self.ranks = rank_encoder(*ranks) if ranks else None
         self.value = value
         self.kept: dict[str, object] = {}
 
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        if self.ranks is None:
+            return [e.ids for e in self.batch(chunks, add_special_tokens=False)]
+        return [self.ranks(c) if "<|" not in c else self.batch([c], add_special_tokens=False)[0].ids for c in chunks]
+
     def whole(self, text: str):
-        return self.value(self.encode([text], add_special_tokens=False)[0].ids)
+        return self.value(self.batch([text], add_special_tokens=False)[0].ids)
 
     def of(self, chunks: list[str]) -> list:
         """The values of ``chunks``, in order."""
@@ -53,8 +76,8 @@ class Memo:
             if len(kept) + len(new) > MOST_KEPT:
                 kept.clear()
                 new = list(set(chunks))
-            for c, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-                kept[c] = self.value(e.ids)
+            for c, ids in zip(new, self.encode(new), strict=True):
+                kept[c] = self.value(ids)
         out = [kept[c] for c in chunks]
         for c in new:
             if len(c) > LONGEST_KEPT:
