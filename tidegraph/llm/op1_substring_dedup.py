@@ -140,14 +140,18 @@ def full_windows(window: int):
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed before they are shuffled."""
+    """(doc_id, packed): texts compressed before they are shuffled.
+
+    The filter is what an inner join would add to its side: with it both joins
+    have the same exchange, and Spark shuffles the texts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             yield _rows(["doc_id", "packed"], batch.column(0), pa.array([pack(t or b"") for t in binary(batch.column(1))], pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary").where("doc_id IS NOT NULL")
 
 
 def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFrame:
