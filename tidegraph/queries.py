@@ -303,6 +303,10 @@ def a07_als_start(spark, d):
     return p.init(p.side(ev(spark, d))).select("id", "part", "x0", "x1")
 
 
+def _hops():
+    return F.coalesce("level", F.lit(-1).cast("long")).alias("level")
+
+
 def _paths_sql(edges: str, head: str, cost: str) -> str:
     return (
         f"{head}, e AS (SELECT DISTINCT src, dst, {cost} AS c FROM {edges}), walk AS (SELECT 0::BIGINT AS id, 0::BIGINT AS value, 0::BIGINT AS level UNION SELECT e.dst, w.value + e.c, w.level + 1 FROM walk w JOIN e ON e.src = w.id WHERE w.level < 24), "
@@ -310,20 +314,20 @@ def _paths_sql(edges: str, head: str, cost: str) -> str:
     )
 
 
-@query("a09_shortest_paths", _paths_sql("ev", NV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, level FROM v LEFT JOIN hop ON hop.id = v.id")
+@query("a09_shortest_paths", _paths_sql("ev", NV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
 def a09_shortest_paths(spark, d):
-    return monotonic.run(alg.shortest_paths(0), ev(spark, d)).result().select("id", "value", "level")
+    return monotonic.run(alg.shortest_paths(0), ev(spark, d)).result().select("id", "value", _hops())
 
 
-@query("a10_reachability", _paths_sql("ev", NV, "0") + " SELECT v.id, (hop.value IS NOT NULL)::INT AS value, level FROM v LEFT JOIN hop ON hop.id = v.id")
+@query("a10_reachability", _paths_sql("ev", NV, "0") + " SELECT v.id, (hop.value IS NOT NULL)::INT AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
 def a10_reachability(spark, d):
-    return alg.reached(monotonic.run(alg.reachability(0), ev(spark, d))).select("id", "value", "level")
+    return alg.reached(monotonic.run(alg.reachability(0), ev(spark, d))).select("id", "value", _hops())
 
 
-@query("k09_paths_refine", _paths_sql("e2", _HV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, level FROM v LEFT JOIN hop ON hop.id = v.id")
+@query("k09_paths_refine", _paths_sql("e2", _HV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
 def k09_paths_refine(spark, d):
     graph, change = evolving(spark, d)
-    return monotonic.refine(monotonic.run(alg.shortest_paths(0), graph), change).result().select("id", "value", "level")
+    return monotonic.refine(monotonic.run(alg.shortest_paths(0), graph), change).result().select("id", "value", _hops())
 
 
 @query("a11_components", "WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT s_nationkey AS s, 100 + s_suppkey AS t FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 100 + s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0)), v AS (SELECT unnest(range(0, (SELECT max(greatest(s, t)) FROM e) + 1)) AS id), r AS (SELECT id, id AS c FROM v UNION SELECT e.t, r.c FROM r JOIN e ON e.s = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
