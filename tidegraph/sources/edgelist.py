@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 HEADERS = {False: "AdjacencyGraph", True: "WeightedAdjacencyGraph"}
 
 
 def _fields(line: Column) -> Column:
-    return F.split(F.trim(line), r"\s+")
+    return F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")
 
 
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
@@ -20,14 +22,28 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> Da
     return df.select(*columns, *[F.try_element_at(f, F.lit(3)).alias("payload")] * weighted).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
+def numbered_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(i, t): white-space separated tokens of a file or folder, numbered from 0 in file order.
+
+    Tokens are numbered within a file's blocks and the blocks' totals are added
+    up, so a large file is read and numbered by many tasks.
+    """
+    place = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("m"))
+    tokens = lines.select("f", "b", "m", F.posexplode(F.split("value", r"\s+")).alias("p", "t")).where("t <> ''")
+    tokens = tokens.withColumn("k", F.row_number().over(Window.partitionBy("f", "b").orderBy("m", "p")))
+    totals = tokens.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"))
+    totals = totals.select("f", "b", (F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).alias("before"))
+    return tokens.join(totals, ["f", "b"]).select((F.col("before") + F.col("k") - 1).cast("long").alias("i"), "t")
+
+
 def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of an adjacency file: header, n, m, n offsets, m targets, and m payloads if weighted.
 
-    The format numbers its tokens over the whole file, so one token stream is
-    numbered; sources come from a range join that is solved as "the last offset
-    at or before this target" with one window, not as a cross join.
+    A source holds the targets from its offset to the next one; targets are then
+    joined by their number.
     """
-    tokens = spark.read.text(path, wholetext=True).select(F.posexplode(_fields(F.col("value"))).alias("i", "t"))
+    tokens = materialize(numbered_tokens(spark, path), "tokens")
     head = {r["i"]: r["t"] for r in tokens.where("i < 3").collect()}
     if head.get(0) not in HEADERS.values():
         raise ValueError(f"unknown header {head.get(0)!r}")
