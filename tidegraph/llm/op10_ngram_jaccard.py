@@ -15,9 +15,10 @@ hashes: equal bits give equal XORs, and a chance equality only costs a check.
 
 A document emits D + 1 keys in its own band, and again in the next band where a
 partner 1/t times as large would be in it. Within a key every document is checked
-against the smallest id; documents of a key that are then still in different
-components are checked against each other, so no link is lost that could join two
-components. The check compares the whole sets.
+against the smallest id. Documents of a key that are then still in different
+components are compared by a compact parity sketch (its Hamming distance, too, is at
+most the difference) and, if that allows, checked against each other: no link is
+lost that could join two components. The check compares the whole sets.
 
 Equal word sequences are reduced to one representative first; members follow it.
 
@@ -47,6 +48,8 @@ THRESHOLD = (80, 100)
 #: same result, a good one gives fewer checks.
 COMMON, MOST_COMMON = 48, 200_000
 SALTS = 64
+#: Bits of the compact sketch that filters pairs inside the last join.
+BITS = 1024
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -87,6 +90,13 @@ def pieces(hashes: np.ndarray, band: int, threshold: tuple[int, int]) -> tuple[n
     return key ^ (key >> np.uint64(32)), count
 
 
+def among(keys: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``common``."""
+    if not len(common):
+        return np.zeros(len(keys), bool)
+    return common[np.minimum(np.searchsorted(common, keys), len(common) - 1)] == keys
+
+
 def emitted(hashes: np.ndarray, common: np.ndarray, threshold: tuple[int, int]) -> Iterator[np.ndarray]:
     """The keys of a set, for its own band and, where a partner may be there, the next."""
     n = len(hashes)
@@ -98,9 +108,9 @@ def emitted(hashes: np.ndarray, common: np.ndarray, threshold: tuple[int, int])
             continue
         take = furthest(n, cap, threshold) + 1
         key, count = pieces(hashes, band, threshold)
-        late = np.isin(key, common)
-        # empty pieces are the commonest of all
-        order = np.lexsort((key, -count, late, count == 0))
+        # many shingles first, common pieces after all others, and empty ones, the commonest of all, last
+        late = np.where(count == 0, 1 << 41, among(key, common) * (1 << 40)) - count
+        order = np.lexsort((key, late))
         yield key[order[:take]]
 
 
@@ -141,6 +151,25 @@ def lowered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "uid long, packed binary")
 
 
+def sketches(shingle: int):
+    """(uid, n, sketch): the set's size and its parity sketch of BITS bits; every shingle flips one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            n, rows = [], []
+            for packed in binary(batch.column(1)):
+                s = shingle_set(unpack(packed), shingle)
+                odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
+                n.append(len(s))
+                rows.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            ends = np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], names=["uid", "n", "sketch"])
+
+    return run
+
+
 def keys(common, threshold: tuple[int, int], shingle: int):
     """(key, salt, uid) of every emitted piece. Common keys are dealt over SALTS parts."""
 
@@ -157,7 +186,7 @@ def keys(common, threshold: tuple[int, int], shingle: int):
                         uids.append(np.full(len(k), uid, np.int64))
             if out:
                 key, uid = np.concatenate(out), np.concatenate(uids)
-                salt = np.where(np.isin(key, late), (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS), 0)
+                salt = np.where(among(key, late), (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(uid)], names=["key", "salt", "uid"])
 
     return run
@@ -213,13 +242,22 @@ def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shin
     links = written(verified(pairs, texts, threshold, shingle), "links")
     first = components(links)
 
-    # what a key still holds in different components
+    # what a key still holds in different components: size and the compact sketches' distance rule out
+    # inside the join what cannot be similar, so only near pairs leave it
     placed = rows.select("key", "uid").distinct().join(first, F.col("uid") == F.col("id"), "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = placed.join(open_, "key")
-    left = placed.select("key", F.col("uid").alias("a"), F.col("component").alias("ca"))
-    right = placed.select("key", F.col("uid").alias("b"), F.col("component").alias("cb"))
-    more = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    placed = written(placed.join(open_, "key"), "open")
+    drawn = texts.join(placed.select("uid").distinct(), "uid", "left_semi").mapInArrow(sketches(shingle), "uid long, n long, sketch array<long>")
+    drawn = written(drawn, "sketches")
+    placed = placed.join(drawn, "uid")
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "component", "n", "sketch")]) for x in "ab")
+    t, u = threshold
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = (
+        (F.col("uid_a") < F.col("uid_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t)
+        & (apart * (t + u) <= (F.col("n_a") + F.col("n_b")) * (u - t))
+    )
+    more = left.withColumnRenamed("key", "k").join(right, (F.col("k") == F.col("key")) & near).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         first = components(links.union(written(verified(more, texts, threshold, shingle), "links")))
