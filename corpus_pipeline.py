@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import op1_substring_dedup, op5_decontamination, op8_packing, op9_quality_rules, op10_ngram_jaccard
-from tidegraph.llm.common import table, written
+from tidegraph.llm.common import repeated_ids, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the smallest id. Documents without words stay."""
     kept = op10_ngram_jaccard.similar_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return out.dropDuplicates(["doc_id"]) if repeated_ids(docs) else out
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that lost words become the words they kept; a document that lost all of its words goes."""
-    cut = op1_substring_dedup.dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"), (F.col("n_removed") == F.col("n_words")).alias("_gone"))
-    out = docs.join(cut, "doc_id", "left").where("_gone IS NULL OR NOT _gone").withColumn("text", F.coalesce("_kept", "text"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = op1_substring_dedup.dedup(docs, carried=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    out = cut.where("n_removed = 0 OR n_removed < n_words").withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")})
+    return out.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

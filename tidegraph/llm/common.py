@@ -52,17 +52,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row per doc_id.
+def repeated_ids(docs: DataFrame) -> bool:
+    """Whether some doc_id has several rows; reads the id column alone."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def identified(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, text, carried columns) with one row per doc_id.
 
     Rows without a doc_id have no identity and are left out. Rows that repeat a
     doc_id count as one document: equal texts once, different texts joined by a
-    line break in text order. The test reads the id column alone.
+    line break in text order; of a carried column the smallest value stays.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).where("doc_id IS NOT NULL")
+    if not repeated_ids(docs):
         return docs
-    return docs.groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text"))
+    return docs.groupBy("doc_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("text"))).alias("text"), *[F.min(c).alias(c) for c in carried])
 
 
 def binary(column: pa.Array) -> list[bytes | None]:

@@ -139,8 +139,8 @@ def full_windows(window: int):
     return run
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): texts compressed before they are shuffled.
+def packed_texts(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, packed, carried columns): texts compressed before they are shuffled.
 
     The filter is what an inner join would add to its side: with it both joins
     have the same exchange, and Spark shuffles the texts once.
@@ -149,9 +149,11 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield _rows(["doc_id", "packed"], batch.column(0), pa.array([pack(t or b"") for t in binary(batch.column(1))], pa.binary()))
+            yield _rows(["doc_id", "packed", *carried], batch.column(0), pa.array([pack(t or b"") for t in binary(batch.column(1))], pa.binary()), *batch.columns[2:])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary").where("doc_id IS NOT NULL")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, packed binary", *(f"`{c}` {kinds[c]}" for c in carried)])
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema).where("doc_id IS NOT NULL")
 
 
 def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -162,7 +164,8 @@ def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFra
     same = Window.partitionBy("key")
     survive = rows.withColumn("n", F.count(F.lit(1)).over(same)).where("at >= 0 AND (sure OR n > 1)")
     survive = survive.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    rows = packed.join(survive, "doc_id").select("doc_id", "packed", "places").mapInArrow(full_windows(window), "key long, doc_id long, at int, run int, sure boolean")
+    # all of packed's columns, so that this side's exchange is the same as the last join's
+    rows = packed.join(survive, "doc_id").select("doc_id", "packed", "places", *packed.columns[2:]).mapInArrow(full_windows(window), "key long, doc_id long, at int, run int, sure boolean")
     first = F.min(F.when(~F.col("sure"), F.struct("doc_id", "at"))).over(same)
     later = rows.withColumn("first", first).where("sure OR struct(doc_id, at) > first")
     return later.groupBy("doc_id").agg(F.collect_list(F.struct("at", "run")).alias("runs"))
@@ -177,30 +180,38 @@ def covered(n: int, runs: np.ndarray | None, lengths: np.ndarray | None, window:
     return np.cumsum(delta[:-1]) > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) of every identified document."""
-    docs = identified(docs)
-    packed = packed_texts(docs)
-    whole = packed.join(repeats(docs, packed, window), "doc_id", "left").select("doc_id", "packed", "runs.at", "runs.run")
+def dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept, carried columns) of every identified document.
+
+    ``kept`` is the text itself where nothing was removed, else the kept words
+    joined by single spaces. Carried columns travel with the texts, so that a
+    caller needs no further join.
+    """
+    docs = identified(docs, *carried)
+    packed = packed_texts(docs, *carried)
+    whole = packed.join(repeats(docs, packed, window), "doc_id", "left").select("doc_id", "packed", "runs.at", "runs.run", *carried)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *carried]
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n, gone, digest, kept = [], [], [], []
             for packed, at, run in zip(binary(batch.column(1)), batch.column(2), batch.column(3), strict=True):
-                words = unpack(packed).split()
+                text = unpack(packed)
+                words = text.split()
                 n.append(len(words))
                 if at.is_valid:
                     out = covered(len(words), at.values.to_numpy(), run.values.to_numpy(), window)
                     words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
                 gone.append(n[-1] - len(words))
-                text = b" ".join(words)
-                digest.append(hashlib.sha256(text).hexdigest())
-                kept.append(text)
-            yield _rows(["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"], batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()))
+                left = b" ".join(words)
+                digest.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if gone[-1] else text)
+            yield _rows(names, batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:])
 
-    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return whole.mapInArrow(run, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", *(f"`{c}` {kinds[c]}" for c in carried)]))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return dedup(table(spark, sf_dir, "documents")).drop("kept")

@@ -9,8 +9,8 @@ items, so what is broadcast has a fixed bound. For a block:
    A passage's cosine with any item is at most the root of the share of its
    squared TF-IDF weight that lies on the block's words; passages below the bound
    cannot become candidates and are not kept;
-3. a distributed randomised SVD of the TF-IDF matrix of those passages and the
-   items: random projection, power iterations of A'A in the tasks, small
+3. a distributed randomised SVD of the TF-IDF matrix of the items and a bounded
+   sample of those passages (``FIT``): random projection, power iterations of A'A in the tasks, small
    orthogonalisations in the driver (words x rank numbers, bounded by the block);
 4. cosine search of all passages against all items in the latent space;
 5. for a candidate (document, item): the document's words around its passages
@@ -26,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -40,6 +41,9 @@ SPAN, STEP = 24, 8
 #: Items to a block, and words to an item's vector at most (longer items are cut into several vectors).
 BLOCK = 2000
 RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
+#: The latent space is fitted on about this many passages at most, chosen by a hash of their place, and on
+#: all items; every passage is searched.
+FIT = 200_000
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
 COSINE, SLACK = 0.47, 0.95
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
@@ -86,13 +90,14 @@ def frequencies(docs: DataFrame, block) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = block.value.number
-        names = number.keys()
-        count, n = np.zeros(len(number) + 1, np.int64), 0
+        among, found, n = frozenset(number), Counter(), 0
         for _, texts in groups(batches):
             for t in texts:
                 n += 1
-                for w in names & set(words_of(t)):
-                    count[number[w]] += 1
+                found.update(among.intersection(words_of(t)))
+        count = np.zeros(len(number) + 1, np.int64)
+        for w, k in found.items():
+            count[number[w]] = k
         count[-1] = n
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["word", "n"])
@@ -197,6 +202,9 @@ def gram(found: DataFrame, block, basis) -> np.ndarray:
 def latent_basis(spark: SparkSession, found: DataFrame, block) -> np.ndarray:
     """Right singular vectors (words x rank) of the passages' and items' TF-IDF matrix."""
     b = block.value
+    every = -(-found.count() // FIT)
+    if every > 1:
+        found = found.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(every)) == 0)
     n = len(b.number)
     width = min(n, RANK + SPARE)
     terms = np.concatenate([*b.items, np.zeros(0, np.int32)])
