@@ -45,7 +45,7 @@ RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
 #: all items; every passage is searched.
 FIT = 200_000
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
-COSINE, SLACK = 0.47, 0.95
+COSINE, SLACK = 0.5, 0.95
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 
@@ -235,15 +235,27 @@ def candidates(found: DataFrame, block, basis) -> DataFrame:
         b, q = block.value, basis.value
         unit = lambda z: z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
         items = unit(projected(np.cumsum([0, *map(len, b.items)]), np.concatenate(b.items), b, q)[0])
-        holds = np.zeros((len(b.items), len(b.number) + 1), np.float32)  # the last column is OTHER's
+        width = len(b.number)
+        holds = np.zeros((len(b.items), width), np.float32)
         for k, x in enumerate(b.items):
             holds[k, x] = b.weight[x]
             holds[k] /= holds[k].sum()
         least = np.array([PARAPHRASE * 0.8 * min(1.0, (SPAN - STEP) / len(x)) for x in b.items])
         for batch in batches:
             for k, ends, terms in _spans(batch):
-                row, item = np.nonzero(unit(projected(ends, terms, b, q)[0]) @ items.T >= COSINE)
-                good = np.fromiter((holds[i, np.unique(terms[ends[r] : ends[r + 1]])].sum() for r, i in zip(row.tolist(), item.tolist(), strict=True)), np.float64, len(row)) >= least[item]
+                z, of, word, _ = projected(ends, terms, b, q)
+                row, item = np.nonzero(unit(z) @ items.T >= COSINE)
+                if not len(row):
+                    continue
+                # the distinct words of each passage, then of each hit
+                entry = np.unique(of * width + word)
+                of, word = entry // width, entry % width
+                count = np.bincount(of, minlength=len(ends) - 1)
+                first = np.cumsum(count) - count
+                size = count[row]
+                start = np.cumsum(size) - size
+                at = np.arange(int(size.sum())) - np.repeat(start - first[row], size)
+                good = np.add.reduceat(holds[np.repeat(item, size), word[at]], start) >= least[item]
                 row, item = row[good], item[good]
                 hit = batch.take(pa.array(row + k))
                 yield pa.RecordBatch.from_arrays([hit.column(0), pa.array(item.astype(np.int32)), hit.column(1), hit.column(2)], names=["doc_id", "item", "start", "terms"])
