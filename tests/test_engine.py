@@ -111,6 +111,19 @@ def test_random_batches_refine_paths(spark):
     assert values(monotonic.refine(monotonic.run(p, x), change).state, "value", "level") == values(monotonic.run(p, change.after).state, "value", "level")
 
 
+def test_command_line(spark, tmp_path):
+    from tidegraph.__main__ import main
+
+    (tmp_path / "g.snap").write_text("\n".join(f"{a} {b} {a + b}" for a, b in G0))
+    (tmp_path / "ops").mkdir()
+    (tmp_path / "ops" / "1").write_text("a 8 9 4\nd 6 5 0\n")
+    engine = main(["paths", str(tmp_path / "g.snap"), "--weighted", "--source", "6", "--output", str(tmp_path / "out"), "--stream", str(tmp_path / "ops"), "--checkpoint", str(tmp_path / "c")], spark)
+    assert engine.version == 1
+    got = values(engine.state.result(), "value")
+    assert got[9] == (32,) and got[5] == (41,) and got[7] == (13,)
+    assert [r["mismatches"] for r in main(["compare", str(tmp_path / "out"), str(tmp_path / "out")], spark).collect()] == [0] * 6
+
+
 def test_entry_lists_every_query():
     import __spark_entry__ as e
 

@@ -50,6 +50,11 @@ def out_neighbours(edges: DataFrame, subset: DataFrame, where: Column | None = N
     return e.join(subset.select(F.col("id").alias("src")), "src", "left_semi").agg(F.count(F.lit(1)).alias("n"))
 
 
+def active_edges(frontier: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Edges that a frontier would push along: its out-degrees' sum."""
+    return degrees.join(frontier.select("id").distinct(), "id", "left_semi").agg(F.coalesce(F.sum("out_degree"), F.lit(0)).cast("long").alias("n"))
+
+
 def compare(a: DataFrame, b: DataFrame, values: list[str], tolerances: int = 6) -> DataFrame:
     """(tolerance, mismatches) for 1, 0.1, …: rows in which some value differs by more, or that one side lacks."""
     left = a.select("id", *[F.col(v).alias(f"_a{k}") for k, v in enumerate(values)], F.lit(True).alias("_in_a"))

@@ -167,8 +167,12 @@ def refine(old: Run, change: Change) -> Run:
         kept = before.join(affected, "id", "left_anti").select("id", *p.values).join(side, "id")
         prior = after.select("id", F.struct(*p.values).alias("_prior"))
         kept = kept.join(prior, "id").withColumn("changed", ~F.struct(*p.values).eqNullSafe(F.col("_prior"))).drop("_prior")
-        out.states.append(materialize(new.select(*start.columns).unionByName(kept.select(*start.columns)), p.name))
-        moved = materialize(differing(before, out.states[-1], list(p.values)), "moved")
+        # whether a vertex differs from the old run is written with its state: no second pass
+        was = before.select("id", F.struct(*p.values).alias("_was"))
+        state = new.select(*start.columns).unionByName(kept.select(*start.columns)).join(was, "id", "left")
+        state = materialize(state.withColumn("differs", ~F.struct(*p.values).eqNullSafe(F.col("_was"))).drop("_was"), p.name)
+        moved = state.where("differs").select("id")
+        out.states.append(state.drop("differs"))
         out.seconds.append(time.time() - began)
         out.work.append(affected.count())
         if i >= max(horizon, p.forced):

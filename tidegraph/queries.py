@@ -7,6 +7,7 @@ both directions. Operations: events in (ts, event_id) order, 'error' deletes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from .operators import ingest, primitives
 from .plans import adaptive, bsp, monotonic
 from .plans import algorithms as alg
 from .sources import edgelist
+from .sources.storage import materialize, shared_dir
+from .streaming.driver import Engine, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,8 +228,10 @@ def evolving(spark, d) -> tuple[g.Graph, g.Change]:
     base, ops = halves(spark, d)
     first = F.broadcast(ops.agg(F.min("seq").alias("low")))
     part = ops.join(first).where(F.col("seq") < F.col("low") + DELTA).drop("low")
-    graph = g.Graph.of(base)
-    return graph, ingest.process_batch(graph, part, ingest.Options(fixed_size=True))[0]
+    graph = g.Graph.of(materialize(base, "base"))
+    change = ingest.process_batch(graph, materialize(part, "part"), ingest.Options(fixed_size=True))[0]
+    after = g.Graph(change.after.vertices, materialize(change.after.edges, "after"))
+    return graph, g.Change(graph, after, change.added, change.deleted)
 
 
 _HV = (
@@ -330,6 +335,19 @@ def k09_paths_refine(spark, d):
     return monotonic.refine(monotonic.run(alg.shortest_paths(0), graph), change).result().select("id", "value", _hops())
 
 
+@query("t01_stream_paths", _paths_sql("e2", _HV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
+def t01_stream_paths(spark, d):
+    """The change of k09, as a file that a stream reads."""
+    base, ops = halves(spark, d)
+    first = F.broadcast(ops.agg(F.min("seq").alias("low")))
+    part = ops.join(first).where(F.col("seq") < F.col("low") + DELTA).drop("low", "reason")
+    place = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    ingest.replay(part, DELTA, f"{place}/ops")
+    engine = Engine(alg.shortest_paths(0), g.Graph.of(base), ingest.Options(fixed_size=True)).start()
+    stream(spark, engine, f"{place}/ops", f"{place}/offsets").awaitTermination()
+    return engine.state.result().select("id", "value", _hops())
+
+
 @query("a11_components", "WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT s_nationkey AS s, 100 + s_suppkey AS t FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 100 + s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0)), v AS (SELECT unnest(range(0, (SELECT max(greatest(s, t)) FROM e) + 1)) AS id), r AS (SELECT id, id AS c FROM v UNION SELECT e.t, r.c FROM r JOIN e ON e.s = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
 def a11_components(spark, d):
     s = _table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("long").alias("src"), (F.col("s_suppkey") + 100).alias("dst"))
@@ -355,6 +373,11 @@ def h13_out_neighbours(spark, d):
     return primitives.out_neighbours(events_edges(spark, d), _nations(spark, d), F.col("dst") % 2 == 0)
 
 
+@query("e16_active_edges", f"WITH {EV} SELECT count(*) AS n FROM ev WHERE src IN (SELECT n_nationkey FROM nation)")
+def e16_active_edges(spark, d):
+    return primitives.active_edges(_nations(spark, d), ev(spark, d).degrees())
+
+
 @query("w01_scans", "SELECT o_orderkey, (count(*) OVER f - 1)::BIGINT AS before, min(o_custkey) OVER b AS least FROM orders WINDOW f AS (ORDER BY o_orderkey), b AS (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 def w01_scans(spark, d):
     o = _table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(1).cast("long").alias("one"))

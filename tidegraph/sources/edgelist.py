@@ -109,6 +109,12 @@ def snap_to_adjacency(spark: SparkSession, source: str, target: str, symmetric:
     write_adjacency(g.vertices, g.edges, target, "payload" if weighted else None)
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Edges in (src, dst) order, one a line; a payload follows."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    edges.orderBy("src", "dst", *rest).select(F.concat_ws(" ", "src", "dst", *[F.col(c).cast("string") for c in rest])).write.mode("overwrite").text(path)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ids of a side file (seeds, partition members), separated by white space."""
     return spark.read.text(path).select(F.explode(_fields(F.col("value"))).alias("t")).select(F.col("t").try_cast("long").alias("id")).where("id IS NOT NULL").distinct()

@@ -68,7 +68,10 @@ class Engine:
             if number in self.seen:
                 return
             numbered = lines.select(F.monotonically_increasing_id().alias("seq"), "value")
-            self.batch(materialize(parse_ops(numbered, weighted), "ops"))
+            ops = parse_ops(numbered, weighted)
+            if weighted:
+                ops = ops.withColumn("w", F.col("payload").try_cast("double")).drop("payload")
+            self.batch(materialize(ops, "ops"))
             self.seen.add(number)
 
         return body
