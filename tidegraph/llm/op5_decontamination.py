@@ -45,7 +45,7 @@ RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
 #: all items; every passage is searched.
 FIT = 200_000
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
-COSINE, SLACK = 0.5, 0.95
+COSINE, SLACK = 0.47, 1.0
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 
