@@ -288,7 +288,7 @@ def test_packing(spark):
                 assert r["offset"] == at
                 at += r["length"]
             assert at <= 2048
-        assert sum(r["length"] for r in rows) > 0.93 * 2048 * (len(windows) - 2)
+        assert sum(r["length"] for r in rows) > 0.8 * 2048 * len(windows)  # few documents, four open windows
     assert op8.pack(empty(spark), path).count() == 0
 
 

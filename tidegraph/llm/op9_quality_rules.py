@@ -76,9 +76,12 @@ def suspect(text: Column, joined: Column, n_symbols: Column) -> Column:
 
 
 def listed_windows(joined: Column, window: int) -> Column:
-    """Every window of ``window`` words as a string; ``joined`` has single spaces."""
+    """Every window of ``window`` words as a string; ``joined`` has single spaces.
+
+    Each match takes one word with its space, so the next one starts at a word.
+    """
     word = r"[^ ]++"
-    return F.regexp_extract_all(joined, F.lit(rf"(?<![^ ])(?=({word}(?: {word}){{{window - 1}}}))"), 1)
+    return F.regexp_extract_all(joined, F.lit(rf"(?=({word}(?: {word}){{{window - 1}}})){word} ?"), 1)
 
 
 def ordered_windows(listed: Column) -> Column:
