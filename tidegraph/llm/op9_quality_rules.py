@@ -122,7 +122,10 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     }).drop("_worded", "_places")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_share * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_lost_share * F.col("word_chars")))
+    # the row number makes the column undeterministic for the optimizer: a filter on the result then stays above
+    # these steps, where it would otherwise be pushed down with all of them inlined in each other
+    kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_lost_share * F.col("word_chars"))
+    return df.withColumn("kept", kept & (F.monotonically_increasing_id() >= 0))
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
