@@ -248,11 +248,13 @@ def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shin
     open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     placed = written(placed.join(open_, "key"), "open")
     drawn = texts.join(placed.select("uid").distinct(), "uid", "left_semi").mapInArrow(sketches(shingle), "uid long, n long, sketch array<long>")
-    drawn = written(drawn, "sketches")
+    # one column for each 64 bits: the distance is then compiled code
+    stretches = [f"s{k}" for k in range(BITS // 64)]
+    drawn = written(drawn.select("uid", "n", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(stretches)]), "sketches")
     placed = placed.join(drawn, "uid")
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "component", "n", "sketch")]) for x in "ab")
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "component", "n", *stretches)]) for x in "ab")
     t, u = threshold
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in stretches), F.lit(0))
     near = (
         (F.col("uid_a") < F.col("uid_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t)
         & (apart * (t + u) <= (F.col("n_a") + F.col("n_b")) * (u - t))
