@@ -73,7 +73,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", ["pagerank", "labels", "coem", "als"])
 def test_refinement_equals_fresh_run(spark, name):
     seeds, members = ids(spark, SEEDS), ids(spark, MEMBERS)
-    program = {"pagerank": alg.pagerank(0.0, 5), "labels": alg.label_propagation(seeds, epsilon=0.01, max_iters=5), "coem": alg.coem(seeds, None, epsilon=0.0, max_iters=5), "als": alg.als(members, epsilon=0.0, mod=0.9, regular=0.01, max_iters=4)}[name]
+    program = {"pagerank": alg.pagerank(0.0, 3), "labels": alg.label_propagation(seeds, epsilon=0.01, max_iters=3), "coem": alg.coem(seeds, None, epsilon=0.0, max_iters=3), "als": alg.als(members, epsilon=0.0, mod=0.9, regular=0.01, max_iters=3)}[name]
     g = graph(spark)
     change = changed(spark, g, [*OPS, "a 21 23"])
     got = values(bsp.refine(bsp.run(program, g), change).final, *program.values)
