@@ -171,7 +171,7 @@ def sketches(shingle: int):
 
 
 def keys(common, threshold: tuple[int, int], shingle: int):
-    """(key, salt, uid) of every emitted piece. Common keys are dealt over SALTS parts."""
+    """(key, salt, uid) of every emitted piece. Common keys are dealt over the parts 1 to SALTS, others have part 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -186,7 +186,7 @@ def keys(common, threshold: tuple[int, int], shingle: int):
                         uids.append(np.full(len(k), uid, np.int64))
             if out:
                 key, uid = np.concatenate(out), np.concatenate(uids)
-                salt = np.where(among(key, late), (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS), 0)
+                salt = np.where(among(key, late), (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS) + np.uint64(1), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(uid)], names=["key", "salt", "uid"])
 
     return run
@@ -232,6 +232,7 @@ def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shin
     part = Window.partitionBy("key", "salt")
     rows = texts.mapInArrow(keys(common, threshold, shingle), "key long, salt int, uid long")
     rows = rows.withColumns({"head": F.min("uid").over(part), "n": F.count(F.lit(1)).over(part)})
+    # alone in a part of a common key is not alone in the key
     rows = written(rows.where("n > 1 OR salt > 0").select("key", "uid", "head"), "keys")
 
     # heads of a salted key's parts against the key's smallest
