@@ -218,6 +218,18 @@ def test_decontamination(spark):
     assert op5.contaminated(docs(spark), bench.where("false")).count() == 0
 
 
+def test_decontamination_fits_all_passages(spark, monkeypatch):
+    """The latent space does not depend on a sample, however many passages there are."""
+    monkeypatch.setattr(op5, "FIT", 10, raising=False)
+    gram, seen, made = op5.gram, [], []
+    monkeypatch.setattr(op5, "gram", lambda found, *a: seen.append(found.count()) or gram(found, *a))
+    passages = op5.passages
+    monkeypatch.setattr(op5, "passages", lambda *a: made.append(passages(*a)) or made[0])
+    bench = spark.createDataFrame([(0, prose(40))], "item_id long, text string")
+    op5.contaminated(docs(spark), bench)
+    assert made[0].count() > 100 and seen == [made[0].count()] * op5.POWERS
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -9,8 +9,8 @@ items, so what is broadcast has a fixed bound. For a block:
    A passage's cosine with any item is at most the root of the share of its
    squared TF-IDF weight that lies on the block's words; passages below the bound
    cannot become candidates and are not kept;
-3. a distributed randomised SVD of the TF-IDF matrix of the items and a bounded
-   sample of those passages (``FIT``): random projection, power iterations of A'A in the tasks, small
+3. a distributed randomised SVD of the TF-IDF matrix of the items and all of those
+   passages: random projection, power iterations of A'A in the tasks, small
    orthogonalisations in the driver (words x rank numbers, bounded by the block);
 4. cosine search of all passages against all items in the latent space;
 5. for a candidate (document, item): the document's words around its passages
@@ -41,9 +41,6 @@ SPAN, STEP = 24, 8
 #: Items to a block, and words to an item's vector at most (longer items are cut into several vectors).
 BLOCK = 2000
 RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
-#: The latent space is fitted on about this many passages at most, chosen by a hash of their place, and on
-#: all items; every passage is searched.
-FIT = 200_000
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
 COSINE, SLACK = 0.47, 1.0
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
@@ -161,8 +158,8 @@ def projected(ends: np.ndarray, terms: np.ndarray, b: Block, basis: np.ndarray)
     return out, row, word, value
 
 
-def _spans(batch: pa.RecordBatch, most: int = 20_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ends, terms) of stretches of a batch's lists."""
+def _spans(batch: pa.RecordBatch, most: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ends, terms) of stretches of a batch's lists, short enough for their numbers to stay in the cache."""
     lists = batch.column(batch.schema.get_field_index("terms"))
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     for k in range(0, len(lists), most):
@@ -202,9 +199,6 @@ def gram(found: DataFrame, block, basis) -> np.ndarray:
 def latent_basis(spark: SparkSession, found: DataFrame, block) -> np.ndarray:
     """Right singular vectors (words x rank) of the passages' and items' TF-IDF matrix."""
     b = block.value
-    every = -(-found.count() // FIT)
-    if every > 1:
-        found = found.where(F.pmod(F.xxhash64("doc_id", "start"), F.lit(every)) == 0)
     n = len(b.number)
     width = min(n, RANK + SPARE)
     terms = np.concatenate([*b.items, np.zeros(0, np.int32)])
