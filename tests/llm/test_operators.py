@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import op1_substring_dedup as op1
 from tidegraph.llm import op2_chat_format as op2
@@ -202,6 +203,13 @@ def test_license(spark):
     assert op4.scan(empty(spark)).count() == 0
 
 
+def test_license_in_a_very_long_line(spark):
+    """Word pairs are made of a whole line, however long."""
+    df = spark.createDataFrame([("a " * 401_000 + "released under the mit license",)], "text string")
+    got = df.select(op4.paragraph_grams(F.col("text")).alias("g")).first()["g"]
+    assert sorted(got) == sorted(["a", "released", "under", "the", "mit", "license", "a a", "a released", "released under", "under the", "the mit", "mit license"])
+
+
 def test_decontamination(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     word = lambda: "".join(RNG.choices(letters, k=5))

@@ -53,7 +53,6 @@ PROSE = [
 ]
 #: A word that starts so makes a paragraph a candidate, and an n-gram a feature.
 STEMS = ["licen[cs]", "copyright", "gpl", "lgpl", "apache", "mit$", "bsd", "mozilla", "mpl", "cc$", "cc0", "creative", "redistribut", "permission", "permitted", "reserved", "public$", "gnu", "compliance", "reproduced"]
-LONGEST = 400  # words of a paragraph whose n-grams are listed at a time
 
 TRAINED_ON, EPOCHS, RATE, L1, L2, SEED = 3000, 200, 2.0, 2e-4, 1e-4, 4
 #: Least calibrated probability, and least share of the best template.
@@ -172,7 +171,7 @@ def _texts(values: list[str]) -> Column:
 def paragraph_grams(line: Column) -> Column:
     """Distinct words and word pairs."""
     words = F.regexp_extract_all(F.lower(line), F.lit(WORD), 0)
-    pairs = F.zip_with(words, F.slice(words, 2, LONGEST * 1000), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
     return F.array_distinct(F.concat(words, F.when(F.size(words) > 1, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))))
 
 
