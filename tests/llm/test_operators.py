@@ -238,6 +238,21 @@ def test_decontamination_fits_all_passages(spark, monkeypatch):
     assert made[0].count() > 100 and seen == [made[0].count()] * op5.POWERS
 
 
+def test_decontamination_long_items(spark):
+    """Every span of a long item is a candidate for it."""
+    import numpy as np
+
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(900))) for k in range(12)]
+    block = op5.Block(items)
+    block.weigh(100, np.ones(len(block.number)))
+    shared = spark.sparkContext.broadcast(block)
+    found = op5.passages(docs(spark, [items[3][1]]), shared)
+    basis = spark.sparkContext.broadcast(np.eye(len(block.number), dtype=np.float32))
+    hits = op5.candidates(found, shared, basis).where("item = 3")
+    assert hits.count() == found.count() == len(op5.span_starts(900))
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -38,8 +38,11 @@ from pyspark.sql import functions as F
 from .common import groups, identified, table, written
 
 SPAN, STEP = 24, 8
-#: Items to a block, and words to an item's vector at most (longer items are cut into several vectors).
+#: Items to a block.
 BLOCK = 2000
+#: Items of more words have, besides their own vector, one for each PIECE words, every SPAN words: each span of an
+#: item lies wholly in one of them.
+WHOLE, PIECE = 64, 2 * SPAN
 RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
 #: Candidate search: least cosine in the latent space; least weight share is its square times SLACK.
 COSINE, SLACK = 0.47, 1.0
@@ -218,8 +221,15 @@ def latent_basis(spark: SparkSession, found: DataFrame, block) -> np.ndarray:
     raise AssertionError
 
 
+def vectors_of(item: np.ndarray) -> list[np.ndarray]:
+    """The word sequences whose vectors stand for an item in the search."""
+    if len(item) <= WHOLE:
+        return [item]
+    return [item, *(item[k : k + PIECE] for k in range(0, len(item) - SPAN, SPAN))]
+
+
 def candidates(found: DataFrame, block, basis) -> DataFrame:
-    """(doc_id, item, start, terms) of passages whose latent cosine with an item reaches COSINE.
+    """(doc_id, item, start, terms) of passages whose latent cosine with one of an item's vectors reaches COSINE.
 
     Of those only passages go on that hold enough of the item's weight for their
     length; a region that could be verified has at least one such passage.
@@ -228,7 +238,10 @@ def candidates(found: DataFrame, block, basis) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, q = block.value, basis.value
         unit = lambda z: z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
-        items = unit(projected(np.cumsum([0, *map(len, b.items)]), np.concatenate(b.items), b, q)[0])
+        pieces = [vectors_of(x) for x in b.items]
+        parts = [x for ps in pieces for x in ps]
+        items = unit(projected(np.cumsum([0, *map(len, parts)]), np.concatenate(parts), b, q)[0])
+        heads = np.cumsum([0, *map(len, pieces)])[:-1]
         width = len(b.number)
         holds = np.zeros((len(b.items), width), np.float32)
         for k, x in enumerate(b.items):
@@ -238,7 +251,10 @@ def candidates(found: DataFrame, block, basis) -> DataFrame:
         for batch in batches:
             for k, ends, terms in _spans(batch):
                 z, of, word, _ = projected(ends, terms, b, q)
-                row, item = np.nonzero(unit(z) @ items.T >= COSINE)
+                cosine = unit(z) @ items.T
+                if len(parts) > len(pieces):
+                    cosine = np.maximum.reduceat(cosine, heads, axis=1)
+                row, item = np.nonzero(cosine >= COSINE)
                 if not len(row):
                     continue
                 # the distinct words of each passage, then of each hit
