@@ -1,8 +1,9 @@
 """Quality rules, line first; DataFrame functions only.
 
 Lines (split at line breaks) are judged one by one: a line that is mostly
-symbols, mostly shouting, a navigation bar, or a boilerplate notice fails, as
-does one that repeats an earlier line of the document. Failed lines are removed;
+symbols, mostly shouting, a navigation bar, padding, or a boilerplate notice
+fails. A line that repeats an earlier one is only counted (``n_dup_lines``), and no
+rule looks at sentence ends or rows of dots and dashes. Failed lines are removed;
 a document that lost too much of its text, or that fails the base rules on its
 whole text, is rejected. Everything is computed within the row: no shuffle, no
 Python, one pass.
