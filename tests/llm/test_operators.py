@@ -94,7 +94,11 @@ def brute_groups(texts):
     return {i: (len(sets[i]), part[i]) for i in range(len(texts))}
 
 
-def test_ngram_jaccard(spark):
+@pytest.mark.parametrize("common, pivots", [(1, 1), (2, 3), (48, 16)])
+def test_ngram_jaccard(spark, monkeypatch, common, pivots):
+    """The same groups whatever pieces are called common and however many partners a round has."""
+    monkeypatch.setattr(op10, "COMMON", common)
+    monkeypatch.setattr(op10, "PIVOTS", pivots)
     texts = list(TEXTS)
     base = prose(90).split()
     for k in range(60):  # a chain of ever more different copies, some past the threshold

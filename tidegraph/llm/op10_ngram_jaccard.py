@@ -15,10 +15,15 @@ hashes: equal bits give equal XORs, and a chance equality only costs a check.
 
 A document emits D + 1 keys in its own band, and again in the next band where a
 partner 1/t times as large would be in it. Within a key every document is checked
-against the smallest id. Documents of a key that are then still in different
-components are compared by a compact parity sketch (its Hamming distance, too, is at
-most the difference) and, if that allows, checked against each other: no link is
-lost that could join two components. The check compares the whole sets.
+against the smallest id. A key whose documents are then still in different
+components is open; in rounds, every document of an open key meets about ``PIVOTS``
+others of one of its keys, and a key closes when its documents have become one
+component. A group of m near copies thus costs a few times m rows, not m * m. When a
+round merges hardly anything any more, the pairs of the keys that are still open are
+all compared. Before any check a compact parity sketch (its Hamming distance, too, is
+at most the difference) rules out inside the join what cannot be similar; the check
+compares the whole sets. No link is lost that could join two components: the rounds
+only decide in which order links are found.
 
 Equal word sequences are reduced to one representative first; members follow it.
 
@@ -34,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import binary, groups, identified, table, windows, word_hashes, written
@@ -47,7 +52,11 @@ THRESHOLD = (80, 100)
 #: commonest ``MOST_COMMON`` are told to the tasks (8 bytes each). Any set gives the
 #: same result, a good one gives fewer checks.
 COMMON, MOST_COMMON = 48, 200_000
-SALTS = 64
+#: Parts over which a common key's rows are dealt: at least SALTS, and one for each PART rows counted.
+SALTS, PART = 64, 50_000
+#: Documents of a key that the others meet in a round, and the share of the open components (one in so many) that a
+#: round has to merge for another one to follow.
+PIVOTS, WORTH = 16, 100
 #: Bits of the compact sketch that filters pairs inside the last join.
 BITS = 1024
 
@@ -171,11 +180,11 @@ def sketches(shingle: int):
 
 
 def keys(common, threshold: tuple[int, int], shingle: int):
-    """(key, salt, uid) of every emitted piece. Common keys are dealt over the parts 1 to SALTS, others have part 0."""
+    """(key, salt, uid) of every emitted piece. Common keys are dealt over the parts from 1 on, others have part 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        late = common.value
+        late, parts = common.value
         for batch in batches:
             out, uids = [], []
             for uid, packed in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
@@ -186,7 +195,10 @@ def keys(common, threshold: tuple[int, int], shingle: int):
                         uids.append(np.full(len(k), uid, np.int64))
             if out:
                 key, uid = np.concatenate(out), np.concatenate(uids)
-                salt = np.where(among(key, late), (uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SALTS) + np.uint64(1), 0)
+                salt = np.zeros(len(key), np.int64)
+                often = among(key, late)
+                dealt = (uid[often].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+                salt[often] = dealt % parts[np.searchsorted(late, key[often])] + np.uint64(1)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(uid)], names=["key", "salt", "uid"])
 
     return run
@@ -216,14 +228,53 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int], shi
     return sided.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+STRETCHES = [f"s{k}" for k in range(BITS // 64)]
+
+
+def near(threshold: tuple[int, int]) -> Column:
+    """Whether the rows ``_a`` and ``_b`` are of different components and may be similar, by size and compact sketch."""
+    t, u = threshold
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in STRETCHES), F.lit(0))
+    return (
+        (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t)
+        & (apart * (t + u) <= (F.col("n_a") + F.col("n_b")) * (u - t))
+    )
+
+
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    """The rows' columns with a suffix; the key of side a is called k."""
+    return rows.select(F.col("key").alias("k" if side == "a" else "key"), *[F.col(c).alias(f"{c}_{side}") for c in ("uid", "component", "n", *STRETCHES)])
+
+
+def still_open(placed: DataFrame) -> DataFrame:
+    """(key, uid, component, size) of keys whose documents lie in different components; size: the key's rows."""
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y")
+    return written(placed.join(several.select("key", "size"), "key"), "open")
+
+
+def met(rows: DataFrame, drawn: DataFrame, turn: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, component_a, b, component_b): every document of an open key with pivots of one of its keys that may be similar.
+
+    The key is drawn at random, a key of twice the rows twice as likely; a pivot is a document whose hash falls into one
+    of size / PIVOTS classes. Both depend on the round alone, so a repeated task gives the same rows.
+    """
+    chance = (F.pmod(F.xxhash64("key", "uid", F.lit(turn)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    mine = rows.groupBy("uid").agg(F.max_by("key", F.col("size") / -F.log(chance)).alias("key"), F.first("component").alias("component"))
+    pivots = rows.where(F.pmod(F.xxhash64("uid", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("size") / PIVOTS))) == 0).drop("size")
+    pairs = sided(mine.join(drawn, "uid"), "a").join(sided(pivots.join(drawn, "uid"), "b"), (F.col("k") == F.col("key")) & near(threshold))
+    return pairs.select(F.col("uid_a").alias("a"), "component_a", F.col("uid_b").alias("b"), "component_b").distinct()
+
+
 def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every identified document."""
     spark = docs.sparkSession
     docs = identified(docs)
     signed = written(docs.mapInArrow(signatures(threshold, shingle), "doc_id long, h1 long, h2 long, n long"), "signatures")
     often = signed.where("n = -1").groupBy("h1").agg(F.sum("h2").alias("c")).where(F.col("c") >= COMMON)
-    often = often.orderBy(F.desc("c"), "h1").limit(MOST_COMMON).select("h1").toPandas()["h1"].to_numpy(np.int64).view(np.uint64)
-    common = spark.sparkContext.broadcast(np.sort(often))
+    often = often.orderBy(F.desc("c"), "h1").limit(MOST_COMMON).toPandas()
+    late = often["h1"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(late)
+    common = spark.sparkContext.broadcast((late[order], (SALTS + often["c"].to_numpy(np.int64) // PART).astype(np.uint64)[order]))
 
     signed = signed.where("n >= 0")
     heads = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("uid"))
@@ -239,31 +290,35 @@ def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shin
     tops = rows.groupBy("key").agg(F.min("head").alias("a"), F.max("head").alias("z")).where("a <> z").select("key", "a")
     across = rows.select("key", F.col("head").alias("b")).distinct().join(tops, "key").select("a", "b")
     pairs = rows.select(F.col("head").alias("a"), F.col("uid").alias("b")).union(across).where("a <> b").distinct()
-    pairs = written(pairs, "pairs")
-    links = written(verified(pairs, texts, threshold, shingle), "links")
+    links = written(verified(written(pairs, "pairs"), texts, threshold, shingle), "links")
     first = components(links)
 
-    # what a key still holds in different components: size and the compact sketches' distance rule out
-    # inside the join what cannot be similar, so only near pairs leave it
+    def checked(found: DataFrame) -> DataFrame:
+        """(component_a, component_b) of the found pairs that are similar."""
+        found = written(found, "met")
+        good = verified(found.select("a", "b"), texts, threshold, shingle)
+        return written(found.join(good, ["a", "b"], "left_semi").select("component_a", "component_b").distinct(), "merged")
+
     placed = rows.select("key", "uid").distinct().join(first, F.col("uid") == F.col("id"), "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    placed = written(placed.join(open_, "key"), "open")
+    placed = still_open(placed)
     drawn = texts.join(placed.select("uid").distinct(), "uid", "left_semi").mapInArrow(sketches(shingle), "uid long, n long, sketch array<long>")
     # one column for each 64 bits: the distance is then compiled code
-    stretches = [f"s{k}" for k in range(BITS // 64)]
-    drawn = written(drawn.select("uid", "n", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(stretches)]), "sketches")
-    placed = placed.join(drawn, "uid")
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", "component", "n", *stretches)]) for x in "ab")
-    t, u = threshold
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in stretches), F.lit(0))
-    near = (
-        (F.col("uid_a") < F.col("uid_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t)
-        & (apart * (t + u) <= (F.col("n_a") + F.col("n_b")) * (u - t))
-    )
-    more = left.withColumnRenamed("key", "k").join(right, (F.col("k") == F.col("key")) & near).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        first = components(links.union(written(verified(more, texts, threshold, shingle), "links")))
+    drawn = written(drawn.select("uid", "n", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(STRETCHES)]), "sketches")
+    bonds, turn = links, 0
+    while n_open := placed.select("component").distinct().count():
+        turn += 1
+        more = checked(met(placed, drawn, turn, threshold))
+        merged = components(more)
+        bonds = bonds.union(more)
+        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        placed = still_open(placed.join(moved, "component", "left").select("key", "uid", F.coalesce("joined", "component").alias("component")))
+        if merged.where("id <> component").count() * WORTH < n_open:
+            last = placed.drop("size").join(drawn, "uid")
+            last = sided(last, "a").join(sided(last, "b"), (F.col("k") == F.col("key")) & (F.col("uid_a") < F.col("uid_b")) & near(threshold))
+            bonds = bonds.union(checked(last.select(F.col("uid_a").alias("a"), "component_a", F.col("uid_b").alias("b"), "component_b").distinct()))
+            break
+    if turn:
+        first = components(bonds)
 
     named = heads.join(first, F.col("uid") == F.col("id"), "left").select("h1", "h2", F.coalesce("component", "uid").alias("component_id"))
     # equal word sequences have one representative; documents without words have none
