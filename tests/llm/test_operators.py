@@ -392,11 +392,34 @@ def test_quality(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(x), i
     assert got[0]["kept"] and not got[1]["kept"] and not got[len(texts) - 1]["kept"] and not got[len(texts) - 3]["kept"]
     assert got[len(texts) - 2]["cleaned"] == texts[-2].split("\n")[1] and got[len(texts) - 2]["kept"]
-    kept = op9.clean(docs(spark, texts))
-    assert kept.columns == docs(spark).columns and kept.where("doc_id = 0").first()["text"] == texts[0]
     assert op9.measure(empty(spark)).count() == 0
 
 
+def test_quality_lines(spark):
+    """What each line rule removes, in place: repeated lines but their first, rows, bars, links, notices."""
+    a, b = prose(40), prose(200)
+    gone = ["Contents ........ 12", "- - - - - -", "One » Two » Three four » Five » Six", "see http://a.b http://c.d www.e.f", "Alle Rechte vorbehalten.", "Cliquez ici", a, "!", "(.)"]
+    stay = [a, "", "Heading without an end", " ", b, "", "well-known: yes, no, maybe", "one · two · three"]
+    text = "\n".join([*stay[:2], *gone[:4], *stay[2:6], *gone[4:], *stay[6:]])
+    df = docs(spark, [text, a + "\n" + a, "\n".join([a, *[prose(30)] * 9])])
+    rows = {r["doc_id"]: r for r in op9.measure(df).collect()}
+    assert rows[0]["cleaned"] == "\n".join(stay) and rows[0]["kept"]
+    assert not rows[1]["kept"] and not rows[2]["kept"]  # lost half and more
+
+
+def test_quality_clashing_names(spark):
+    """Columns named like the operator's own keep their values; only text and n_chars change; nulls and repeated rows pass."""
+    own = ["row", "kept", "cleaned", "lost_chars", "n_words", "words", "lines", "joined", "windows", "pairs", "flags", "left", "open", "base_failed", "a.b", "col"]
+    text = prose(50) + "\nAccept cookies"
+    rows = [(1, text, 5, *map(str, range(len(own)))), (1, text, 5, *map(str, range(len(own)))), (None, text, None, *[None] * len(own)), (2, None, 0, *[None] * len(own))]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, n_chars long", *(f"`{c}` string" for c in own)]))
+    got = op9.clean(df)
+    assert got.columns == df.columns
+    kept = sorted(map(tuple, got.collect()), key=str)
+    cut = text.split("\n")[0]
+    assert kept == sorted([(1, cut, len(cut), *map(str, range(len(own))))] * 2 + [(None, cut, len(cut), *[None] * len(own))], key=str)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 

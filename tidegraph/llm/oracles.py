@@ -1,6 +1,6 @@
 """DuckDB SQL that gives the queries' rows by another way."""
 
-from .op9_quality_rules import NOTICES, Rules
+from .op9_quality_rules import BAR, LINK, NOTICES, ROW, Rules
 
 _R = Rules()
 
@@ -11,18 +11,20 @@ p AS (SELECT doc_id, unnest(range(1, len(ws) - {_R.window} + 2)) AS i, ws FROM w
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + {_R.window - 1}], ' ') AS g FROM p),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, sum(least({_R.window}, coalesce(nxt - i, {_R.window}))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM r) GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(ls) AS line FROM w),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 j AS (SELECT doc_id, line, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
-        (length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) * 100 > length(line) * {_R.max_symbol_share}
+        (again OR length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) * 100 > length(line) * {_R.max_symbol_share}
+         OR length(regexp_replace(line, '[^\\p{{P}}]+', '', 'g')) * 100 > length(line) * {_R.max_punctuation_share}
+         OR regexp_matches(line, '{ROW}') OR regexp_matches(line, '{BAR}') OR len(regexp_extract_all(line, '{LINK}')) > {_R.max_links}
          OR (regexp_matches(line, '\\p{{Lu}}\\p{{Lu}}') AND length(regexp_replace(line, '[^\\p{{L}}]+', '', 'g')) >= {_R.min_shout_letters} AND length(regexp_replace(line, '[^\\p{{Lu}}]+', '', 'g')) * 100 > length(regexp_replace(line, '[^\\p{{L}}]+', '', 'g')) * {_R.max_shout_share})
          OR length(regexp_replace(line, '[^|]+', '', 'g')) > {_R.max_bars}
-         OR (len(regexp_split_to_array(trim(line), ' +')) <= {_R.notice_words} AND regexp_matches(lower(line), '{"|".join(NOTICES)}'))
-         OR (SELECT count(*) FROM (SELECT 1 FROM (SELECT i, x, i - row_number() OVER (PARTITION BY x ORDER BY i) AS run FROM (SELECT unnest(string_split(line, ' ')) AS x, unnest(range(1, len(string_split(line, ' ')) + 1)) AS i) WHERE x <> '') GROUP BY x, run HAVING count(*) >= 6)) >= 2) AS fails
+         OR (len(regexp_split_to_array(trim(line), ' +')) <= {_R.notice_words} AND regexp_matches(lower(line), '{"|".join(NOTICES).replace("'", "''")}'))
+         OR (SELECT coalesce(sum(n // 6), 0) FROM (SELECT count(*) AS n FROM (SELECT i, x, i - row_number() OVER (PARTITION BY x ORDER BY i) AS run FROM (SELECT unnest(string_split(line, ' ')) AS x, unnest(range(1, len(string_split(line, ' ')) + 1)) AS i) WHERE x <> '') GROUP BY x, run)) >= 2) AS fails
       FROM l),
 e AS (SELECT doc_id, coalesce(sum(chars) FILTER (fails), 0) AS lost FROM j GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
         len(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
-        coalesce(c.n, 0) AS n_repeat_words, e.lost AS lost_chars
+        coalesce(c.n, 0) AS n_repeat_words, coalesce(e.lost, 0) AS lost_chars
       FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN e ON e.doc_id = w.doc_id),
 f AS (SELECT *, (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_share} * n_words) AS base_failed FROM b)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
