@@ -15,10 +15,9 @@ items, so what is broadcast has a fixed bound. For a block:
    passage of at least ``COSINE`` to an item is a candidate for it;
 5. the document's words in an item's candidate passages are compared with the item's by
    longest common subsequence, shared weight, and the item's answer (its last sentence):
-   a copy, or a paraphrase that keeps the answer, is contaminated. Before that, pairs
-   fall away whose passages together have too few of the item's words, or too little of
-   its weight, for that check: both sums bound what the check counts, so it would refuse
-   them all.
+   a copy, or a paraphrase that keeps the answer, is contaminated. Before that, stretches
+   fall away that have too few of the item's words for any common subsequence that the
+   check accepts: the check would refuse them all.
 
 A document's passages are one row (cut, with an overlap that holds any item's stretch, at
 ``ROW`` passages), so search and check are one step without a shuffle.
@@ -249,57 +248,57 @@ def vectors_of(item: np.ndarray) -> list[np.ndarray]:
 
 
 class Search:
-    """What a task needs to find a block's items: their vectors, and which words they have how much of."""
+    """What a task needs to find a block's items: their vectors, and which of them have which words (BLOCK x words bytes)."""
 
     def __init__(self, b: Block, basis: np.ndarray):
         self.b, self.basis = b, basis
         pieces = [vectors_of(x) for x in b.items]
         parts = [x for ps in pieces for x in ps]
-        self.vectors = unit(projected(np.cumsum([0, *map(len, parts)]), np.concatenate(parts), b, basis)[0]).T
+        self.vectors = unit(projected(np.cumsum([0, *map(len, parts)]), np.concatenate(parts), b, basis)[0]).T.copy()
         self.heads = np.cumsum([0, *map(len, pieces)])[:-1] if len(parts) > len(pieces) else None
-        # (item, word) pairs as sorted numbers, with the word's share of the item's weight
-        self.width = len(b.number)
-        self.has = np.unique(np.concatenate([k * self.width + x.astype(np.int64) for k, x in enumerate(b.items)]))
-        whole = np.array([b.weight[x].sum() for x in b.items])
-        self.share = b.weight[self.has % self.width] / whole[self.has // self.width]
+        self.has = np.zeros((len(b.number) + 1, len(b.items)), np.uint8)  # the last row is OTHER's
+        for k, x in enumerate(b.items):
+            self.has[x, k] = 1
         self.words = np.array([len(x) for x in b.items])
 
-    def hits(self, ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) pairs whose latent cosine reaches COSINE for one of the item's vectors."""
-        found = []
-        for k, e, t in _spans(ends, terms):
+    def hits(self, ends: np.ndarray, terms: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) pairs whose latent cosine reaches COSINE for one of the item's vectors.
+
+        Left out are the pairs of (row, item) whose passages have too few of the item's words for the check: their
+        number bounds the common subsequence.
+        """
+        found, total = [], np.zeros((int(row[-1]) + 1 if len(row) else 0, len(self.words)), np.int32)
+        for k, e, t in _spans(ends, terms, 500):
             cosine = unit(projected(e, t, self.b, self.basis)[0]) @ self.vectors
             if self.heads is not None:
                 cosine = np.maximum.reduceat(cosine, self.heads, axis=1)
-            at, item = np.nonzero(cosine >= COSINE)
-            found.append((at + k, item))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
-
-    def possible(self, row: np.ndarray, ends: np.ndarray, terms: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which hits belong to a (row, item) pair that the check could accept.
-
-        The common subsequence is no longer than the number of the passages' words that the item has,
-        and the shared weight no more than those words' weight.
-        """
-        order = np.lexsort((item, row[at]))
-        pair = row[at][order] * len(self.words) + item[order]
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        of, n_words, weight = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair)))), np.zeros(len(first)), np.zeros(len(first))
-        for k in range(0, len(order), 20_000):
-            some = order[k : k + 20_000]
-            length = ends[at[some] + 1] - ends[at[some]]
-            start = np.cumsum(length) - length
-            word = terms[np.arange(int(length.sum())) + np.repeat(ends[at[some]] - start, length)].astype(np.int64)
-            key = np.repeat(item[some].astype(np.int64) * self.width, length) + word
-            place = np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)
-            has = (self.has[place] == key) & (word >= 0)
-            group = np.repeat(of[k : k + 20_000], length)[has]
-            n_words += np.bincount(group, minlength=len(first))
-            weight += np.bincount(group, self.share[place[has]], len(first))
-        good = (n_words >= PARAPHRASE * self.words[item[order][first]]) & (weight >= PARAPHRASE - 1e-9)
-        keep = np.zeros(len(at), bool)
-        keep[order] = good[of]
-        return keep
+            hit = cosine >= COSINE
+            some = np.flatnonzero(hit.any(axis=1))
+            if not len(some):
+                continue
+            hit, size = hit[some], int(e[1] - e[0])
+            if (np.diff(e) == size).all():
+                count = self.has[t.reshape(-1, size)[some]].sum(axis=1, dtype=np.uint8)
+            else:
+                count = np.stack([self.has[t[e[p] : e[p + 1]]].sum(axis=0, dtype=np.uint8) for p in some])
+            count *= hit
+            of = row[k + some]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            total[of[first]] += np.add.reduceat(count, first, axis=0, dtype=np.int32)
+            at, item = np.nonzero(hit)
+            found.append((some[at] + k, item))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int)
+        at, item = (np.concatenate(c) for c in zip(*found, strict=True))
+        keep = (total >= PARAPHRASE * self.words)[row[at], item]
+        return at[keep], item[keep]
+
+    def enough(self, region: np.ndarray, k: int) -> bool:
+        """Whether some stretch of the check's length has enough of an item's words."""
+        n, reach = int(self.words[k]), math.ceil(1.5 * int(self.words[k]))
+        seen = np.concatenate(([0], np.cumsum(self.has[region, k], dtype=np.int32)))
+        most = seen[-1] if len(region) <= reach else (seen[reach:] - seen[:-reach]).max()
+        return most >= PARAPHRASE * n
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -354,26 +353,23 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
         for batch in batches:
             search = search or Search(b, basis.value)
             row, start, ends, terms = ends_of(batch)
-            at, item = search.hits(ends, terms)
-            if len(at):
-                keep = search.possible(row, ends, terms, at, item)
-                at, item = at[keep], item[keep]
+            at, item = search.hits(ends, terms, row)
             order = np.lexsort((at, item, row[at]))
             at, item = at[order], item[order]
             ids = batch.column(0).to_pylist()
-            cuts = np.flatnonzero(np.concatenate(([True], (row[at][1:] != row[at][:-1]) | (item[1:] != item[:-1])))).tolist() if len(at) else []
+            # stretches: passages of one row that are candidates for one item and overlap or touch
+            same = (row[at][1:] == row[at][:-1]) & (item[1:] == item[:-1])
+            far = start[at][1:] > (start[at] + ends[at + 1] - ends[at])[:-1]
+            cuts = np.flatnonzero(np.concatenate(([True], ~same | far))).tolist() if len(at) else []
             for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True):
-                k = int(item[x])
-                best, region, last = (0, 0.0, False, False), [], None
-                for p in [*at[x:y].tolist(), None]:
-                    if p is None or last is not None and start[p] > last:  # the stretch ends
-                        if region:
-                            best = max(best, verdict(b.items[k].tolist(), b.answers[k], region, b.weight), key=lambda v: (v[3], v[0]))
-                        region, last = [], None
-                    if p is not None:
-                        t = terms[ends[p] : ends[p + 1]].tolist()
-                        region += t if last is None else t[int(last - start[p]) :]
-                        last = start[p] + len(t)
+                k, p = int(item[x]), at[x:y]
+                # of every passage but the last the words before the next one
+                take = np.append(np.diff(start[p]), ends[p[-1] + 1] - ends[p[-1]])
+                begin = np.cumsum(take) - take
+                region = terms[np.arange(int(take.sum())) + np.repeat(ends[p] - begin, take)]
+                if not search.enough(region, k):
+                    continue
+                best = verdict(b.items[k].tolist(), b.answers[k], region.tolist(), b.weight)
                 if best[3]:
                     rows.append((ids[row[at[x]]], b.ids[k], len(b.items[k]), best[0], best[2]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
