@@ -261,13 +261,9 @@ class Search:
             self.has[x, k] = 1
         self.words = np.array([len(x) for x in b.items])
 
-    def hits(self, ends: np.ndarray, terms: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, item) pairs whose latent cosine reaches COSINE for one of the item's vectors.
-
-        Left out are the pairs of (row, item) whose passages have too few of the item's words for the check: their
-        number bounds the common subsequence.
-        """
-        found, total = [], np.zeros((int(row[-1]) + 1 if len(row) else 0, len(self.words)), np.int32)
+    def hits(self, ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's the item has."""
+        found = []
         for k, e, t in _spans(ends, terms, 500):
             cosine = unit(projected(e, t, self.b, self.basis)[0]) @ self.vectors
             if self.heads is not None:
@@ -281,17 +277,9 @@ class Search:
                 count = self.has[t.reshape(-1, size)[some]].sum(axis=1, dtype=np.uint8)
             else:
                 count = np.stack([self.has[t[e[p] : e[p + 1]]].sum(axis=0, dtype=np.uint8) for p in some])
-            count *= hit
-            of = row[k + some]
-            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            total[of[first]] += np.add.reduceat(count, first, axis=0, dtype=np.int32)
             at, item = np.nonzero(hit)
-            found.append((some[at] + k, item))
-        if not found:
-            return np.zeros(0, int), np.zeros(0, int)
-        at, item = (np.concatenate(c) for c in zip(*found, strict=True))
-        keep = (total >= PARAPHRASE * self.words)[row[at], item]
-        return at[keep], item[keep]
+            found.append((some[at] + k, item, count[at, item].astype(np.int32)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
 
     def enough(self, region: np.ndarray, k: int) -> bool:
         """Whether some stretch of the check's length has enough of an item's words."""
@@ -353,15 +341,17 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
         for batch in batches:
             search = search or Search(b, basis.value)
             row, start, ends, terms = ends_of(batch)
-            at, item = search.hits(ends, terms, row)
+            at, item, words = search.hits(ends, terms)
             order = np.lexsort((at, item, row[at]))
-            at, item = at[order], item[order]
+            at, item, words = at[order], item[order], words[order]
             ids = batch.column(0).to_pylist()
             # stretches: passages of one row that are candidates for one item and overlap or touch
             same = (row[at][1:] == row[at][:-1]) & (item[1:] == item[:-1])
             far = start[at][1:] > (start[at] + ends[at + 1] - ends[at])[:-1]
-            cuts = np.flatnonzero(np.concatenate(([True], ~same | far))).tolist() if len(at) else []
-            for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            cuts = np.flatnonzero(np.concatenate(([True], ~same | far))) if len(at) else np.zeros(0, int)
+            # the sum over its passages bounds the words that a stretch shares with the item
+            worth = np.flatnonzero(np.add.reduceat(words, cuts) >= PARAPHRASE * search.words[item[cuts]]) if len(at) else cuts
+            for x, y in zip(cuts[worth].tolist(), np.append(cuts, len(at))[worth + 1].tolist(), strict=True):
                 k, p = int(item[x]), at[x:y]
                 # of every passage but the last the words before the next one
                 take = np.append(np.diff(start[p]), ends[p[-1] + 1] - ends[p[-1]])
