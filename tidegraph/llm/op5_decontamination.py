@@ -262,7 +262,7 @@ class Search:
         self.words = np.array([len(x) for x in b.items])
 
     def hits(self, ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's the item has."""
+        """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's first 8, 16 and 24 the item has."""
         found = []
         for k, e, t in _spans(ends, terms, 500):
             cosine = unit(projected(e, t, self.b, self.basis)[0]) @ self.vectors
@@ -274,12 +274,13 @@ class Search:
                 continue
             hit, size = hit[some], int(e[1] - e[0])
             if (np.diff(e) == size).all():
-                count = self.has[t.reshape(-1, size)[some]].sum(axis=1, dtype=np.uint8)
+                thirds = [self.has[x].sum(axis=1, dtype=np.uint8) for x in np.split(t.reshape(-1, size)[some], range(STEP, size, STEP), axis=1)]
             else:
-                count = np.stack([self.has[t[e[p] : e[p + 1]]].sum(axis=0, dtype=np.uint8) for p in some])
+                thirds = [np.stack([self.has[t[e[p] : e[p + 1]]].sum(axis=0, dtype=np.uint8) for p in some])]
+            count = np.cumsum([*thirds, *[np.zeros_like(thirds[0])] * (SPAN // STEP - len(thirds))], axis=0, dtype=np.uint8)
             at, item = np.nonzero(hit)
-            found.append((some[at] + k, item, count[at, item].astype(np.int32)))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+            found.append((some[at] + k, item, count[:, at, item].T))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, SPAN // STEP), int))
 
     def enough(self, region: np.ndarray, k: int) -> bool:
         """Whether some stretch of the check's length has enough of an item's words."""
@@ -307,23 +308,23 @@ def lcs(a: list[int], b: list[int]) -> int:
 
 
 def verdict(item: list[int], answer: list[int], region: list[int], weight: np.ndarray) -> tuple[int, float, bool, bool]:
-    """(common subsequence, shared weight, answer found, contaminated) of an item and the best stretch of a region."""
+    """(common subsequence, shared weight, answer found, contaminated) of an item and the best stretch of a region.
+
+    A stretch whose words in common are too few, or weigh too little, is passed over before the subsequence is computed.
+    """
     reach, step = math.ceil(1.5 * len(item)), max(1, len(item) // 4)
     best = (0, 0.0, False, False)
-    total = float(weight[item].sum())
+    want, total = Counter(item), float(weight[item].sum())
     for at in range(0, max(1, len(region) - reach + step), step):
-        part = [w for w in region[at : at + reach] if w >= 0]
+        part = [w for w in region[at : at + reach] if w in want]
         if len(part) < PARAPHRASE * len(item):
             continue
-        n = lcs(item, part)
-        left, shared = list(part), 0.0
-        for w in item:
-            if w in left:
-                left.remove(w)
-                shared += float(weight[w])
-        shared /= total
+        both = want & Counter(part)
+        shared = sum(float(weight[w]) * n for w, n in both.items()) / total
+        if sum(both.values()) < PARAPHRASE * len(item) or shared < PARAPHRASE:
+            continue
+        share = (n := lcs(item, part)) / len(item)
         answered = bool(answer) and lcs(answer, part) >= ANSWER * len(answer)
-        share = n / len(item)
         bad = min(share, shared) >= COPY or (answered and min(share, shared) >= PARAPHRASE)
         best = max(best, (n, shared, answered, bad), key=lambda x: (x[3], x[0]))
     return best
@@ -349,8 +350,12 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
             same = (row[at][1:] == row[at][:-1]) & (item[1:] == item[:-1])
             far = start[at][1:] > (start[at] + ends[at + 1] - ends[at])[:-1]
             cuts = np.flatnonzero(np.concatenate(([True], ~same | far))) if len(at) else np.zeros(0, int)
-            # the sum over its passages bounds the words that a stretch shares with the item
-            worth = np.flatnonzero(np.add.reduceat(words, cuts) >= PARAPHRASE * search.words[item[cuts]]) if len(at) else cuts
+            worth = cuts
+            if len(at):
+                # a stretch's words in common: of every passage those before the next one
+                ahead = np.append(np.where(same & ~far, start[at][1:] - start[at][:-1], SPAN), SPAN)
+                common = words[np.arange(len(at)), np.minimum(-(-ahead // STEP), SPAN // STEP) - 1].astype(np.int32)
+                worth = np.flatnonzero(np.add.reduceat(common, cuts) >= PARAPHRASE * search.words[item[cuts]])
             for x, y in zip(cuts[worth].tolist(), np.append(cuts, len(at))[worth + 1].tolist(), strict=True):
                 k, p = int(item[x]), at[x:y]
                 # of every passage but the last the words before the next one
