@@ -48,7 +48,7 @@ BLOCK = 2000
 #: Items of more words have, besides their own vector, one for each PIECE words, every SPAN words: each span of an
 #: item lies wholly in one of them.
 WHOLE, PIECE = 64, 2 * SPAN
-RANK, SPARE, POWERS, SEED = 96, 16, 2, 20
+RANK, SPARE, POWERS, SEED = 72, 8, 2, 20
 #: Candidate search: least cosine in the latent space, and least share of a passage's squared weight inside it.
 COSINE, IN_SPACE = 0.47, 0.22
 #: Passages to a row of a long document.
