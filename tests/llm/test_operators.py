@@ -66,6 +66,13 @@ def test_substring_dedup(spark):
     assert {r[0]: (*tuple(r)[1:4], " ".join(words(r["kept"]))) for r in rows} == want
     assert all(r["kept"] == (TEXTS[r["doc_id"]] or "") and r["source"] == "s" for r in rows if not r["n_removed"])
     assert op1.dedup(empty(spark)).count() == 0
+    # carried columns may have any name but the results' own
+    own = ["packed", "places", "at", "run", "runs", "key", "sure", "carried", "first", "n", "a.b"]
+    df = docs(spark).drop("places", "key").withColumns({c: F.lit(c) for c in own if c != "a.b"}).withColumn("a.b", F.lit("a.b"))
+    rows = op1.dedup(df, carried=tuple(own)).collect()
+    assert {r[0]: tuple(r)[1:4] for r in rows} == {k: v[:3] for k, v in want.items()} and all(r[c] == c for r in rows for c in own)
+    with pytest.raises(ValueError):
+        op1.dedup(df, carried=("kept",))
 
 
 def test_repeated_and_null_ids(spark):
@@ -357,7 +364,9 @@ def test_token_counts(spark):
 def test_sharding(spark):
     df = docs(spark, [prose(RNG.randrange(50)) for _ in range(400)] + [LONG, None])
     df = df.union(df.where("doc_id = 400"))
-    rows = op7.assign(df, limit=3000, fine=5).collect()
+    df = df.withColumns({"b": F.lit(1), "at": F.lit(2), "row": F.lit(3), "depth": F.lit(4), "shard": F.lit("old")})
+    rows = op7.assign(df, limit=3000, spare=-2).collect()
+    assert all((r["b"], r["at"], r["row"], r["depth"]) == (1, 2, 3, 4) for r in rows)
     assert len(rows) == 403
     bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in range(402)}
     sizes = {}
@@ -471,3 +480,26 @@ def test_pipeline(spark, tmp_path):
     assert seen == [[0, 2, 4, 5, 6, 7, 8], [0, 2, 4, 5, 8], [0, 2, 4, 5, 8], [0, 2, 5, 8]]
     assert words(df.where("doc_id = 8").first()["text"]) == words(texts[8])[:100]
     assert sorted({r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()}) == [0, 2, 5, 8]
+
+
+def test_pipeline_without_whole_ids(spark, tmp_path):
+    """Null and repeated ids, repeated rows and clashing names: every row is judged by itself and none is lost."""
+    import corpus_pipeline as cp
+
+    item = " ".join(f"word{k}" for k in range(30)) + "."
+    a, b, c, d = (prose(150) for _ in range(4))
+    d += " " + item
+    own = ["packed", "row", "kept", "at", "run", "runs", "n_words", "key", "uid", "cleaned", "a.b"]
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, d), (8, c), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, None, "s", len(t or ""), *own) for i, t in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{x}` string" for x in own)]))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+    for _, stage in cp.STAGES[:-1]:
+        df = cp.written(stage(spark, df, str(tmp_path)), "t")
+        got = df.collect()
+        assert df.columns[5:] == own and all(tuple(r)[5:] == tuple(own) for r in got)
+        seen.append(sorted(((r["doc_id"], r["text"]) for r in got), key=str))
+    whole = sorted([(None, a), (None, b), (7, c), (7, d), (7, d), (8, c)], key=str)
+    once = sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
+    assert seen == [whole, once, once, [x for x in once if x[1] != d]]
+    assert {r["doc_id"] for r in cp.packing(spark, df, str(tmp_path)).collect()} == {None, 7}

@@ -29,6 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary, groups, identified, joined, table, windows, word_hashes
 
@@ -139,8 +140,8 @@ def full_windows(window: int):
     return run
 
 
-def packed_texts(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, packed, carried columns): texts compressed before they are shuffled.
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed, carried): texts compressed before they are shuffled.
 
     The filter is what an inner join would add to its side: with it both joins
     have the same exchange, and Spark shuffles the texts once.
@@ -149,11 +150,10 @@ def packed_texts(docs: DataFrame, *carried: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield _rows(["doc_id", "packed", *carried], batch.column(0), pa.array([pack(t or b"") for t in binary(batch.column(1))], pa.binary()), *batch.columns[2:])
+            yield _rows(["doc_id", "packed", "carried"], batch.column(0), pa.array([pack(t or b"") for t in binary(batch.column(1))], pa.binary()), batch.column(2))
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long, packed binary", *(f"`{c}` {kinds[c]}" for c in carried)])
-    return docs.select("doc_id", "text", *carried).mapInArrow(run, schema).where("doc_id IS NOT NULL")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType()), docs.schema["carried"]])
+    return docs.select("doc_id", "text", "carried").mapInArrow(run, schema).where("doc_id IS NOT NULL")
 
 
 def repeats(docs: DataFrame, packed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -187,11 +187,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, ...] = ())
     joined by single spaces. Carried columns travel with the texts, so that a
     caller needs no further join.
     """
-    docs = identified(docs, *carried)
-    packed = packed_texts(docs, *carried)
-    whole = packed.join(repeats(docs, packed, window), "doc_id", "left").select("doc_id", "packed", "runs.at", "runs.run", *carried)
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *carried]
-    kinds = dict(docs.dtypes)
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+    if set(carried) & set(names):
+        raise ValueError(f"columns of these names are results: {names}")
+    # carried columns travel in a struct, so that their names meet no other's
+    docs = docs.select("doc_id", "text", (F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.struct(F.lit(0).alias("none"))).alias("carried"))
+    docs = identified(docs, "carried")
+    packed = packed_texts(docs)
+    whole = packed.join(repeats(docs, packed, window), "doc_id", "left").select("doc_id", "packed", "runs.at", "runs.run", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -208,9 +211,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, carried: tuple[str, ...] = ())
                 left = b" ".join(words)
                 digest.append(hashlib.sha256(left).hexdigest())
                 kept.append(left if gone[-1] else text)
-            yield _rows(names, batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:])
+            yield _rows([*names, "carried"], batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(4))
 
-    return whole.mapInArrow(run, ", ".join(["doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", *(f"`{c}` {kinds[c]}" for c in carried)]))
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    schema = T.StructType([*(T.StructField(c, k) for c, k in zip(names, kinds, strict=True)), docs.schema["carried"]])
+    return whole.mapInArrow(run, schema).select(*names, *[F.col(f"carried.`{c}`") for c in carried])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

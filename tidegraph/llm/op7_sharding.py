@@ -2,15 +2,19 @@
 
 A document's place is the bits of md5(doc_id). The directory starts with one
 bucket; a bucket whose texts exceed the byte limit is split on the next bit, and
-only that one, until every shard fits. Sizes are first summed per prefix of
-``FINE`` bits, so the directory is worked out on at most 2^FINE sums (a bound
-that does not grow with the data) and the documents are read twice, without a
-shuffle of their texts. Prefixes that are still too large at that depth are
-summed again, deeper, on their own rows alone.
+only that one, until every shard fits. Sizes are first summed by prefixes of as many
+bits as the total bytes ask for (``SPARE`` more than the logarithm of total / limit);
+their ancestors' sums, and of these the shallowest that fit, are tables, so that
+nothing but the depths that occur reaches the driver. Prefixes that are still too large
+are summed again, ``DEEPER`` bits further, on their own rows alone. The documents are
+read twice, without a shuffle of their texts: the directory (about twice total / limit
+rows of 30 bytes) is broadcast up to ``MOST_BROADCAST`` rows, beyond it Spark joins by a
+shuffle.
 
 A bucket that no further bit can split (one document over the limit, or one
 repeated id) is a shard of its own at the deepest level. Null texts have 0
-bytes; a null doc_id hashes as the empty string. One row for each row of docs.
+bytes; a null doc_id hashes as the empty string. One row for each row of docs; its
+columns travel in a struct, so any names may occur.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 LIMIT = 32 << 20
-#: Bits of the first sums, and of the whole hash.
-FINE, DEEPEST = 16, 60
+#: Bits of the whole hash; bits beyond the least that could do, and of a further look.
+DEEPEST, SPARE, DEEPER = 60, 4, 16
+MOST_BROADCAST = 2_000_000
 
 
 def place(doc_id: Column) -> Column:
@@ -30,58 +35,51 @@ def place(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def split_buckets(sums: dict[int, int], depth: int, start: int, limit: int) -> tuple[dict[tuple[int, int], int], set[int]]:
-    """Buckets (depth, prefix) -> bytes from sums at ``depth``, and the prefixes of ``depth`` that are still too large."""
-    levels = {depth: sums}
-    for d in range(depth - 1, start - 1, -1):
-        levels[d] = {}
-        for p, b in levels[d + 1].items():
-            levels[d][p >> 1] = levels[d].get(p >> 1, 0) + b
-    done: dict[tuple[int, int], int] = {}
-    todo = [(start, p) for p in levels[start]]
-    deeper = set()
-    while todo:
-        d, p = todo.pop()
-        size = levels[d][p]
-        if size <= limit or d == DEEPEST:
-            done[d, p] = size
-        elif d == depth:
-            deeper.add(p)
-        else:
-            todo += [(d + 1, q) for q in (2 * p, 2 * p + 1) if q in levels[d + 1]]
-    return done, deeper
-
-
-def directory(docs: DataFrame, limit: int = LIMIT, fine: int = FINE) -> list[tuple[int, int, int]]:
-    """(depth, prefix, bytes) of every bucket. Its length is bounded by the shards, about total bytes / limit * 2."""
-    sized = docs.select(place(F.col("doc_id")).alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
-    buckets: dict[tuple[int, int], int] = {}
-    start, depth, open_ = 0, min(fine, DEEPEST), None
+def split(sums: DataFrame, start: int, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets (depth, prefix, bytes) between the depths, and the prefixes (prefix) of ``depth`` that are still too large."""
+    levels = sums.select("prefix", "bytes", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"))
+    levels = written(levels.groupBy("depth", F.expr(f"shiftright(prefix, {depth} - depth)").alias("prefix")).agg(F.sum("bytes").alias("bytes")), "levels")
+    over, fits = levels.where(F.col("bytes") > limit), levels.where(F.col("bytes") <= limit)
+    parents = over.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+    halves = fits.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_semi").select("depth", "prefix", "bytes")
+    last = over.where(F.col("depth") == depth)
+    if depth == DEEPEST:
+        return fits.where(F.col("depth") == start).unionByName(halves).unionByName(last), last.where("false").select("prefix")
+    return fits.where(F.col("depth") == start).unionByName(halves), last.select("prefix")
+
+
+def directory(docs: DataFrame, limit: int = LIMIT, spare: int = SPARE) -> DataFrame:
+    """(depth, prefix, bytes) of every bucket."""
+    rows = docs.select(place(F.col("doc_id")).alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    start, depth = 0, min(DEEPEST, (total // limit).bit_length() + spare)
+    buckets = None
     while True:
-        rows = sized if open_ is None else sized.where(F.shiftright("at", DEEPEST - start).isin(sorted(open_)))
-        sums = {r[0]: r[1] for r in rows.groupBy(F.shiftright("at", DEEPEST - depth)).agg(F.sum("size")).collect()}
-        done, open_ = split_buckets(sums, depth, start, limit)
-        buckets |= done
-        if not open_:
-            return sorted((d, p, b) for (d, p), b in buckets.items())
-        # one more stretch of bits, as long as the sums stay as few
-        start, depth = depth, min(DEEPEST, depth + max(1, fine - (len(open_) - 1).bit_length()))
+        found, large = split(rows.groupBy(F.shiftright("at", DEEPEST - depth).alias("prefix")).agg(F.sum("size").alias("bytes")), start, depth, limit)
+        buckets = found if buckets is None else buckets.unionByName(found)
+        if depth == DEEPEST or large.isEmpty():
+            return written(buckets, "directory")
+        rows = rows.join(large, F.shiftright("at", DEEPEST - depth) == F.col("prefix"), "left_semi")
+        start, depth = depth, min(DEEPEST, depth + DEEPER)
 
 
-def assign(docs: DataFrame, limit: int = LIMIT, fine: int = FINE) -> DataFrame:
+def assign(docs: DataFrame, limit: int = LIMIT, spare: int = SPARE) -> DataFrame:
     """All rows of ``docs`` with shard (its bits as text), shard_depth and shard_bytes; columns of these names are replaced.
 
     The buckets' table is joined on (depth, prefix); a row carries its prefix at
     each depth that occurs in the directory, a few dozen at most.
     """
     names = [c for c in docs.columns if c not in ("shard", "shard_depth", "shard_bytes")]
-    rows = directory(docs, limit, fine) or [(0, 0, 0)]
-    buckets = docs.sparkSession.createDataFrame(rows, "shard_depth int, _prefix long, shard_bytes long")
-    places = [F.struct(F.lit(d).alias("d"), F.shiftright("_at", DEEPEST - d).alias("p")) for d in sorted({d for d, _, _ in rows})]
-    tried = docs.select(*names).withColumn("_at", place(F.col("doc_id"))).withColumn("_b", F.explode(F.array(*places)))
-    out = tried.join(buckets, (F.col("_b.d") == F.col("shard_depth")) & (F.col("_b.p") == F.col("_prefix")))
-    shard = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("_prefix"), F.col("shard_depth"), F.lit("0")))
-    return out.select(*names, shard.alias("shard"), "shard_depth", "shard_bytes")
+    buckets = directory(docs, limit, spare)
+    depths = sorted(r[0] for r in buckets.select("depth").distinct().collect())
+    places = [F.struct(F.lit(d).alias("d"), F.shiftright("at", DEEPEST - d).alias("p")) for d in depths] or [F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p"))]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), place(F.col("doc_id")).alias("at"))
+    tried = rows.select("row", F.explode(F.array(*places)).alias("b"))
+    if buckets.count() <= MOST_BROADCAST:
+        buckets = F.broadcast(buckets)
+    out = tried.join(buckets, (F.col("b.d") == F.col("depth")) & (F.col("b.p") == F.col("prefix")))
+    shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
+    return out.select(*[F.col(f"row.`{c}`") for c in names], shard.alias("shard"), F.col("depth").alias("shard_depth"), F.col("bytes").alias("shard_bytes"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
