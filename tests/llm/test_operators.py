@@ -173,6 +173,8 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame(list(enumerate(map(json.dumps, records))), "conv_id long, record string")
     rows = op2.parsed_records(df).orderBy("conv_id", "turn").collect()
     assert [tuple(r)[1:] for r in rows] == [(0, "user", "q"), (1, "assistant", "a")] * 5
+    named = spark.createDataFrame([(3, 0, "gpt", "a", 1)], "conv_id long, turn long, role string, text string, other int")
+    assert op2.mapping_for(op2.schema_paths(named.schema)).get("rows") and op2.canonical_turns(named).first()["role"] == "gpt"
     nested = spark.createDataFrame([(5, [("human", "q"), ("gpt", None)])], "conv_id long, conversations array<struct<from: string, value: string>>")
     assert [tuple(r) for r in op2.canonical_turns(nested).collect()] == [(5, 0, "user", "q"), (5, 1, "assistant", "")]
     with pytest.raises(ValueError):
@@ -244,6 +246,20 @@ def test_license(spark):
     assert op4.scan(empty(spark)).count() == 0
 
 
+def test_license_families_apart(spark):
+    """Licences of other families and outside them, tags, wrapped headers, and columns named like the operator's own."""
+    want = {
+        "This file is licensed under the GNU Affero General Public License, version 3.": ["agpl-3.0"], "Licensed under CC BY-ND 4.0.": ["cc-by-nd"], "SPDX-License-Identifier: MIT": ["mit"], "SPDX-License-Identifier: GPL-2.0-only": ["gpl-2.0"],
+        "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License, version 3\nas published by the FSF.": ["gpl-3.0"],
+        "Released under the Unlicense.": ["unlicense"], "Licensed under the zlib license.": [], "Licensed under the Artistic License 2.0.": [], "Released under the ISC License.": ["isc"],
+        "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.": ["apache-2.0", "mit"], "All rights reserved.": ["proprietary"], "He has a license to drive.": [],
+    }
+    df = docs(spark, list(want)).withColumns({c: F.lit(c) for c in ("lines", "grams", "scored", "chosen", "row", "licenses")})
+    rows = {r["doc_id"]: r for r in op4.scan(df.union(df)).collect()}
+    assert {k: [x["family"] for x in rows[i]["licenses"] if x["confirmed"]] for i, k in enumerate(want)} == want
+    assert all(r[c] == c for r in rows.values() for c in ("lines", "grams", "scored", "chosen", "row"))
+
+
 def test_license_in_a_very_long_line(spark):
     """Word pairs are made of a whole line, however long."""
     df = spark.createDataFrame([("a " * 401_000 + "released under the mit license",)], "text string")
@@ -355,9 +371,16 @@ def test_token_counts(spark):
     for i in (0, 4, 11):  # every tabled prefix is exact
         for end, count in zip(got[i]["prefix_ends"], got[i]["prefix_tokens"], strict=True):
             assert count == len(t.encode(texts[i][:end], add_special_tokens=False).ids)
-    table = op6.PrefixCounts(TEXTS[0], op6.Memo(path, len))
-    fit = table.fits(50)
-    assert table.upto(fit) <= 50 and table.fits(-1) == 0 and table.fits(10**9) == table.ends[-1]
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    for x in (TEXTS[0], TEXTS[0][:200] + "\xa0" + TEXTS[0][200:], TEXTS[0].replace(" ", ""), TEXTS[0].replace(" ", "-"), "\xa0a  b", *TRICKY[:7]):  # every prefix, also with odd or no white space
+        table = op6.PrefixCounts(x, op6.Memo(path, len))
+        assert table.fits(-1) == 0 and table.fits(10**9) == len(x) and table.upto(len(x)) == table.total == count(x)
+        for end in range(0, min(len(x), 400), 7):
+            assert table.upto(end) == count(x[:end])
+        for budget in (0, 1, 5, 50, 120):
+            n = table.fits(budget)
+            assert count(x[:n]) <= budget and (n >= 0.5 * len(x) or all(count(x[:m]) > budget for m in range(n + 1, min(n + 12, len(x) + 1))))
+    assert got[7]["fit_chars"] == op6.PrefixCounts(texts[7], op6.Memo(path, len)).fits(2048) < len(texts[7]) and got[0]["fit_chars"] == len(texts[0])
     assert op6.count_tokens(empty(spark), path).count() == 0
 
 

@@ -5,7 +5,7 @@ hash is the fingerprint that selects a declarative mapping. A mapping only names
 paths: where the list of messages lies and which of its fields are role and text,
 or which single fields are the turns of which role. Tables are mapped with column
 expressions from their schema; JSON records of mixed layouts are fingerprinted
-one by one.
+one by one. The layout with one row per turn is one of them.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Within role
 and text ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|``, so no text can hold a
@@ -81,6 +81,7 @@ def _fields(**turns: str) -> dict:
 
 #: Declarative mappings; extra top-level ids are named in OPTIONAL.
 MAPPINGS = [
+    {"paths": {"turn", "role", "text"}, "rows": True},  # one row per turn
     _list("messages", "role", "content"),
     _list("messages", "role", "text"),
     _list("conversations", "from", "value"),
@@ -95,15 +96,14 @@ MAPPINGS = [
 OPTIONAL = ("conv_id", "id", "source")
 #: Names that layouts use for the same role.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-#: One row per turn.
-ROWS = {"conv_id", "turn", "role", "text"}
-
 REGISTRY = {fingerprint(m["paths"]): m for m in MAPPINGS}
+#: Top-level names that some mapping uses; other fields don't count.
+NAMED = {re.split(r"[.\[]", p)[0] for m in MAPPINGS for p in m["paths"]}
 
 
 def mapping_for(paths: set[str]) -> dict:
-    """The mapping of a layout; paths of OPTIONAL fields don't count."""
-    found = REGISTRY.get(fingerprint(paths - set(OPTIONAL)))
+    """The mapping of a layout by its fingerprint; OPTIONAL fields, and fields that no mapping names, don't count."""
+    found = REGISTRY.get(fingerprint({p for p in paths if re.split(r"[.\[]", p)[0] in NAMED and p not in OPTIONAL}))
     if found is None:
         raise ValueError(f"no mapping for the layout {sorted(paths)}")
     return found
@@ -112,6 +112,8 @@ def mapping_for(paths: set[str]) -> dict:
 def record_turns(record: dict) -> list[tuple[str, str]]:
     """Canonical (role, text) turns of one JSON record."""
     m = mapping_for(value_paths(record))
+    if "rows" in m:
+        return [(record.get("role") or "", record.get("text") or "")]
     if "list" in m:
         pairs = [(x.get(m["role"]), x.get(m["text"])) for x in record[m["list"]]]
     else:
@@ -125,9 +127,9 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     role = lambda c: F.coalesce(F.element_at(named, c), c, F.lit(""))
     paths = schema_paths(df.schema)
     key = F.col("conv_id" if "conv_id" in df.columns else "id").cast("long").alias("conv_id")
-    if ROWS <= paths:
-        return df.select(key, F.col("turn").cast("long").alias("turn"), role(F.col("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     m = mapping_for(paths)
+    if "rows" in m:  # canonical already: its roles stay as they are
+        return df.select(key, F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns: Column
     if "list" in m:
         turns = F.transform(F.col(m["list"]), lambda x: F.struct(role(x[m["role"]]).alias("role"), F.coalesce(x[m["text"]], F.lit("")).alias("text")))
@@ -172,13 +174,19 @@ def ordered(segments: DataFrame) -> DataFrame:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """What a reader of the formatted text finds: per conversation the digests of its turns and of its loss text."""
+    """What a reader of the formatted text finds: per conversation the digests of its turns and of its loss text.
+
+    The reader sees a conversation as one stream of characters, in which it finds the turns
+    by the control strings alone; where one row ends and the next begins it isn't told.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, conv, state = [], None, None
 
         def close() -> None:
-            n, turns, loss_n, loss, chars = state
+            n, turns, loss_n, loss, chars, unread = state
+            if unread:
+                raise ValueError(f"conversation {conv}: the text does not end with a turn")
             rows.append((conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
 
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -189,10 +197,13 @@ def read_back(segments: DataFrame) -> DataFrame:
                 if state is None or c != conv:
                     if state is not None:
                         close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in TURN.findall(segment):
+                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, ""]
+                stream, at = state[5] + segment, 0
+                while m := TURN.match(stream, at):
                     state[0] += 1
-                    state[1].update(f"{unescape(role.replace('&#10;', chr(10)))}\n{unescape(text)}\n".encode())
+                    state[1].update(f"{unescape(m[1].replace('&#10;', chr(10)))}\n{unescape(m[2])}\n".encode())
+                    at = m.end()
+                state[5] = stream[at:]
                 if a is not None:
                     text = unescape(segment[a:z])
                     state[2] += len(text)

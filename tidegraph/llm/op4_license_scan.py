@@ -2,16 +2,19 @@
 
 A sparse multinomial logistic regression over word n-grams (n = 1, 2) tells licence
 families and "unknown" apart. It is trained in the driver on a fixed, bounded set of
-labelled paragraphs that are built from the families' own wording and from plain
-prose (``training_set``); temperature scaling on held-out paragraphs calibrates it.
-Only the wordings' own n-grams carry weight. A paragraph without any licence word
-(``STEMS``) is unknown without being scored.
+labelled paragraphs that are built from the families' wordings, from the wordings of
+licences outside the families and from plain prose (``training_set``). Temperature
+scaling on paragraphs of other frames and other foreign licences calibrates it. Only the
+wordings' own n-grams carry weight. A paragraph without any of the wordings' marking
+words (``STEMS``, by which n-grams become features at all) has no feature but the bias.
 
 A prediction must be sure enough, and is confirmed by comparison with the
 family's template: the share of the template's n-grams that the paragraph holds.
 
-Every line of every text is a paragraph. Scoring is a row-local expression: no
-shuffle, no Python. A null or empty text has no paragraph of any family.
+A paragraph ends at a blank line or at a line that ends a sentence, so that wrapped lines
+are judged together. Scoring is a row-local expression: no shuffle, no Python. A null or
+empty text has no paragraph of any family; repeated rows give equal rows. Columns of any
+name pass untouched (they travel in a struct), but ``licenses`` is replaced.
 """
 
 from __future__ import annotations
@@ -29,17 +32,22 @@ from .common import table
 UNKNOWN = "unknown"
 #: Canonical wording by family; {0} is filled with names and years.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the apache license", "distributed under the apache 2.0 license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl version 3"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2", "released under the gpl version 2"],
-    "lgpl": ["licensed under the gnu lesser general public license", "released under the lgpl version 2.1"],
-    "bsd": ["licensed under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "released under the 3 clause bsd license"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license"],
+    "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the apache license", "distributed under the apache 2.0 license", "spdx license identifier apache 2.0"],
+    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "licensed under the mit license", "spdx license identifier mit"],
+    "agpl-3.0": ["licensed under the gnu affero general public license version 3", "released under the agpl version 3", "spdx license identifier agpl 3.0 only"],
+    "epl-2.0": ["this program is made available under the terms of the eclipse public license 2.0", "licensed under the eclipse public license version 2.0", "spdx license identifier epl 2.0"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "spdx license identifier isc"],
+    "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense"],
+    "cc-by-nd": ["licensed under cc by nd 4.0", "licensed under a creative commons attribution noderivatives license"],
+    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl version 3", "spdx license identifier gpl 3.0 or later"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2", "released under the gpl version 2", "spdx license identifier gpl 2.0 only"],
+    "lgpl": ["licensed under the gnu lesser general public license", "released under the lgpl version 2.1", "spdx license identifier lgpl 2.1 or later"],
+    "bsd": ["licensed under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted", "released under the 3 clause bsd license", "spdx license identifier bsd 3 clause"],
+    "mpl-2.0": ["subject to the terms of the mozilla public license version 2.0", "licensed under the mozilla public license", "spdx license identifier mpl 2.0"],
     "cc-by-nc": ["licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial license"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "licensed under a creative commons attribution sharealike license"],
     "cc-by": ["licensed under cc by 4.0", "licensed under a creative commons attribution license"],
-    "cc0": ["dedicated to the public domain under cc0 1.0", "no rights reserved public domain dedication"],
+    "cc0": ["dedicated to the public domain under cc0 1.0", "no rights reserved public domain dedication", "spdx license identifier cc0 1.0"],
     "proprietary": ["all rights reserved", "copyright {0} all rights reserved", "no part of this work may be reproduced without written permission"],
 }
 #: Plain sentences, some with licence words in another sense.
@@ -51,13 +59,21 @@ PROSE = [
     "apache helicopters flew over the valley", "the mozilla foundation held a meeting", "students at mit built the machine", "the creative use of common words",
     "free charge for every person who came", "source and binary stars were observed", "the weather was fine and the road was empty", "she wrote the letter and sent it the same day",
 ]
+#: Licences outside the families: they are unknown. The first half trains, the second calibrates.
+FOREIGN = [
+    "licensed under the zlib license", "distributed under the boost software license version 1.0", "licensed under the european union public licence version 1.2", "released under the open data commons license",
+    "spdx license identifier zlib", "licensed under the microsoft public license", "driver license renewed under the general rules", "all rights to the driver are reserved for the day",
+    "licensed under the artistic license 2.0", "released under the sil open font license", "licensed under the common development and distribution license", "spdx license identifier bsl 1.0",
+]
 #: A word that starts so makes a paragraph a candidate, and an n-gram a feature.
-STEMS = ["licen[cs]", "copyright", "gpl", "lgpl", "apache", "mit$", "bsd", "mozilla", "mpl", "cc$", "cc0", "creative", "redistribut", "permission", "permitted", "reserved", "public$", "gnu", "compliance", "reproduced"]
+STEMS = ["licen[cs]", "copyright", "gpl", "lgpl", "apache", "mit$", "bsd", "mozilla", "mpl", "cc$", "cc0", "creative", "redistribut", "permission", "permitted", "reserved", "public$", "gnu", "compliance", "reproduced", "affero", "agpl", "eclipse", "epl$", "isc$", "unlicense", "unencumbered", "spdx"]
 
 TRAINED_ON, EPOCHS, RATE, L1, L2, SEED = 3000, 200, 2.0, 2e-4, 1e-4, 4
 #: Least calibrated probability, and least share of the best template.
 SURE, CONFIRM = 0.6, 0.6
 
+#: Ends of paragraphs: a line's end after a sentence's, or a blank line.
+PARAGRAPH = r"(?<=[.!?:;])[ \t\r]*\n|\n[ \t\r]*\n"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 _STEM = re.compile("(?:" + "|".join(STEMS) + ")")
 
@@ -72,33 +88,39 @@ def has_stem(text: str) -> bool:
     return any(_STEM.match(w) for w in re.findall(WORD, text.lower()))
 
 
-def training_set(n: int = TRAINED_ON, seed: int = SEED) -> list[tuple[str, str]]:
-    """(paragraph, family) rows: wordings with words dropped, joined or framed, and prose."""
-    rng = random.Random(seed)
-    families = sorted(TEMPLATES)
-    prose_words = sorted({w for p in PROSE for w in p.split()})
+def built(families: list[str], foreign: list[str], prose: list[str], n: int, rng: random.Random) -> list[tuple[str, str]]:
+    """(paragraph, family) rows: wordings with a word dropped or framed by other words, and prose."""
+    words_of = sorted({w for p in prose for w in p.split()})
     rows = []
     for k in range(n):
-        if k % 2:
-            words = rng.choice(PROSE).split() if rng.random() < 0.6 else rng.choices(prose_words, k=rng.randint(3, 25))
-            family = UNKNOWN
+        family = families[k // 2 % len(families)] if k % 2 == 0 else UNKNOWN
+        if family == UNKNOWN and k % 3 == 0:
+            words = rng.choice(foreign).split()
+        elif family == UNKNOWN:
+            words = rng.choice(prose).split() if rng.random() < 0.6 else rng.choices(words_of, k=rng.randint(3, 25))
         else:
-            family = families[k // 2 % len(families)]
             words = rng.choice(TEMPLATES[family]).format(rng.choice(["2019", "2021 acme inc", "the authors"])).split()
-            if rng.random() < 0.3 and len(words) > 5:
+            if rng.random() < 0.3 and len(words) > 8:
                 del words[rng.randrange(len(words))]
-            if rng.random() < 0.5:
-                extra = rng.choices(prose_words, k=rng.randint(1, 12))
-                words = extra + words if rng.random() < 0.5 else words + extra
+        if rng.random() < 0.5:
+            extra = rng.choices(words_of, k=rng.randint(1, 12))
+            words = extra + words if rng.random() < 0.5 else words + extra
         rows.append((" ".join(words), family))
     return rows
 
 
+def training_set(n: int = TRAINED_ON, seed: int = SEED) -> list[tuple[str, str]]:
+    """Four fifths train, the last fifth calibrates: with frames, prose and foreign licences of its own."""
+    rng, families = random.Random(seed), sorted(TEMPLATES)
+    half, cut = len(FOREIGN) * 2 // 3, len(PROSE) * 3 // 4
+    return built(families, FOREIGN[:half], PROSE[:cut], n * 4 // 5, rng) + built(families, FOREIGN[half:], PROSE[cut:], n - n * 4 // 5, rng)
+
+
 class Model:
     """Weights of n-grams by family, the temperature, and the templates' n-grams."""
 
     def __init__(self):
-        rows = [r for r in training_set() if has_stem(r[0])]
+        rows = training_set()
         cut = len(rows) * 4 // 5
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         self.vocabulary = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(t.replace("{0} ", ""))})
@@ -132,7 +154,7 @@ class Model:
 
     def predict(self, paragraph: str) -> tuple[str, float, bool]:
         """(family, probability, confirmed): the same as the expression gives, for tests."""
-        if not has_stem(paragraph):
+        if not has_stem(paragraph):  # no feature: the bias alone
             return UNKNOWN, 1.0, False
         found = set(grams(paragraph))
         hit = [k for k, g in enumerate(self.vocabulary) if g in found]
@@ -176,13 +198,14 @@ def paragraph_grams(line: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All of ``docs``'s columns and ``licenses``: array of (line, family, probability, confirmed), one for each paragraph of a family."""
+    """All of ``docs``'s columns and ``licenses``: array of (paragraph, family, probability, confirmed), one for each paragraph of a family."""
     m = model()
     stem = r"(?i)(?<![a-z0-9])(?:" + "|".join(s.replace("$", "(?![a-z0-9])") for s in STEMS) + ")"
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    numbered = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: x["text"].rlike(stem))
-    df = docs.withColumn("_lines", numbered)
-    df = df.withColumn("_grams", F.transform("_lines", lambda x: F.struct(x["line"].alias("line"), paragraph_grams(x["text"]).alias("g"))))
+    parts = F.split(F.coalesce("text", F.lit("")), PARAGRAPH, -1)
+    numbered = F.filter(F.transform(parts, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda x: x["text"].rlike(stem))
+    names = [c for c in docs.columns if c != "licenses"]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), numbered.alias("lines"))
+    df = df.withColumn("grams", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), paragraph_grams(x["text"]).alias("g"))))
     weight = F.map_from_arrays(_texts(m.vocabulary), F.expr(_sql(m.weights.tolist())))
     bias = F.expr(_sql(m.bias.tolist()))
 
@@ -192,21 +215,21 @@ def scan(docs: DataFrame) -> DataFrame:
         total = F.aggregate(x["g"], bias, lambda acc, g: F.zip_with(acc, F.coalesce(F.try_element_at(weight, g), none), lambda a, b: a + b))
         return F.struct(x["line"].alias("line"), x["g"].alias("g"), total.alias("z"))
 
-    df = df.withColumn("_scored", F.transform("_grams", scored))
+    df = df.withColumn("scored", F.transform("grams", scored))
 
     def chosen(x: Column) -> Column:
         top = F.array_max(x["z"])
         p = 1 / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp((z - top) / m.temperature))
         return F.struct(x["line"].alias("line"), x["g"].alias("g"), F.get(_texts(m.families), (F.array_position(x["z"], top) - 1).cast("int")).alias("family"), p.alias("probability"))
 
-    df = df.withColumn("_chosen", F.filter(F.transform("_scored", chosen), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= SURE)))
+    df = df.withColumn("chosen", F.filter(F.transform("scored", chosen), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= SURE)))
 
     def confirmed(x: Column) -> Column:
         shares = [F.when(x["family"] == f, F.size(F.array_intersect(x["g"], _texts(t))) / len(t)).otherwise(0.0) for f, ts in m.templates.items() for t in ts]
         share = F.greatest(*shares)
-        return F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), (share >= CONFIRM).alias("confirmed"))
+        return F.struct(x["line"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), (share >= CONFIRM).alias("confirmed"))
 
-    return df.withColumn("licenses", F.transform("_chosen", confirmed)).drop("_lines", "_grams", "_scored", "_chosen")
+    return df.select(*[F.col(f"row.`{c}`") for c in names], F.transform("chosen", confirmed).alias("licenses"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

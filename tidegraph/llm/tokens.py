@@ -55,7 +55,8 @@ class Memo:
     """
 
     def __init__(self, path: str, value, ranks: tuple[str, str] | None = None):
-        self.batch = tokenizer(path).encode_batch_fast
+        self.tokens = tokenizer(path)
+        self.batch = self.tokens.encode_batch_fast
         self.ranks = rank_encoder(*ranks) if ranks else None
         self.value = value
         self.kept: dict[str, object] = {}
