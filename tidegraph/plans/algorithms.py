@@ -122,7 +122,7 @@ def als(members: DataFrame | None = None, mod: float = 0.00190000001, regular: f
     return VertexProgram(
         "als", ("x0", "x1"),
         side=lambda g: parted(g.vertices, members), init=start, edges=edges, message=message, update=update,
-        computes=lambda i: F.col("part") if i % 2 else ~F.col("part"), forced=2, epsilon=epsilon, max_iters=max_iters,
+        computes=lambda i: F.col("part") if i % 2 else ~F.col("part"), forced=2, use_delta=lambda i: False, epsilon=epsilon, max_iters=max_iters,
     )
 
 
