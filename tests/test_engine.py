@@ -87,6 +87,62 @@ def test_stream_of_batches(spark, tmp_path):
     assert engine.version == before + 1 and values(engine.state.result(), "value") == want
 
 
+def test_restart_between_batches(spark, tmp_path):
+    """An engine that stops after two batches, and a new one that goes on, give what an unbroken run gives."""
+    rng = random.Random(9)
+    folder = tmp_path / "ops"
+    folder.mkdir()
+
+    def put(k):
+        (folder / f"{k}").write_text("".join(f"{rng.choice('aad')} {rng.randrange(12)} {rng.randrange(12)}\n" for _ in range(6)))
+
+    new = lambda home: Engine(alg.pagerank(0.0, 4), graph(spark), home=home)
+    put(1), put(2)
+    home, check = str(tmp_path / "home"), str(tmp_path / "check")
+    stream(spark, new(home).start(), str(folder), check).awaitTermination()
+    put(3)
+    second = new(home).start()
+    assert (second.version, second.last) == (2, 1)
+    stream(spark, second, str(folder), check).awaitTermination()
+    whole = new(None).start()
+    stream(spark, whole, str(folder), str(tmp_path / "other")).awaitTermination()
+    assert second.version == whole.version == 3
+    one, two = values(second.state.final, "rank"), values(whole.state.final, "rank")
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in two)
+
+
+def test_replayed_batches(spark):
+    lines = spark.createDataFrame(list(enumerate([*OPS, "# note", "a 9 10", "a 3 4"])), "seq long, value string")
+    for fixed in (False, True):
+        engine = Engine(alg.shortest_paths(6), graph(spark), ingest.Options(fixed_size=fixed), adaptive=Adaptive()).start().replayed(lines, 3, most=2)
+        assert engine.version == 2 and sum(sum(c.values()) for c in engine.counts) >= 0
+        assert values(engine.state.result(), "value") == values(monotonic.run(alg.shortest_paths(6), engine.graph).result(), "value")
+
+
+def test_replay_keeps_the_order(spark, tmp_path):
+    ops = spark.range(5000).selectExpr("id AS seq", "'a' AS op", "id AS src", "id + 1 AS dst").repartition(7)
+    assert ingest.replay(ops, 2000, str(tmp_path / "r")) == 3
+    for k in range(3):
+        text = "".join(f.read_text() for f in sorted((tmp_path / "r" / f"batch={k}").glob("part*")))
+        assert [int(x.split()[1]) for x in text.splitlines()] == list(range(2000 * k, min(5000, 2000 * k + 2000)))
+
+
+def test_frontier_and_refinement_equal_full_runs(spark, monkeypatch):
+    """Signed rows give what summing all messages gives, for several programs and random batches."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(20), rng.randrange(20)) for _ in range(70)]
+    x = graph(spark, edges)
+    change = changed(spark, x, [f"a {rng.randrange(23)} {rng.randrange(23)}" for _ in range(5)] + [f"d {a} {b}" for a, b in rng.sample(edges, 12)])
+    none = spark.createDataFrame([(3,)], "id long")
+    for p, names in ((alg.pagerank(0.02, 8), ["rank"]), (alg.label_propagation(none, epsilon=0.0, max_iters=4), ["f0", "f1"]), (alg.coem(none, epsilon=0.001, max_iters=5), ["score"])):
+        monkeypatch.setattr(bsp, "FEW", 10**9)
+        plain = values(bsp.run(p, change.after).final, *names)
+        monkeypatch.setattr(bsp, "FEW", 1)
+        for got in (bsp.run(p, change.after).final, bsp.refine(bsp.run(p, x), change).final):
+            got = values(got, *names)
+            assert got.keys() == plain.keys() and all(got[k] == pytest.approx(plain[k], abs=1e-9) for k in plain), p.name
+
+
 def test_adaptive_switch(spark):
     g0 = graph(spark)
     old = bsp.run(alg.pagerank(0.0, 3), g0)

@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.graph import Graph, symmetrise
-from .operators.ingest import Options
-from .operators.primitives import compare
+from .operators.ingest import Options, parse_ops, replay
+from .operators.primitives import compare, differences
 from .plans import algorithms as alg
+from .plans.adaptive import Adaptive
 from .sources import edgelist
 from .streaming.driver import Engine, stream
 
@@ -28,6 +29,12 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument("--symmetric", action="store_true")
         a.add_argument("--simple", action="store_true")
         a.add_argument("--fixed-batch-size", action="store_true")
+        a.add_argument("--enforce-edge-validity", action=argparse.BooleanOptionalAction, default=True)
+        a.add_argument("--ops", help="file or folder of operations, applied in batches of --batch-size")
+        a.add_argument("--batch-size", type=int, default=1000)
+        a.add_argument("--batches", type=int, help="how many batches at most")
+        a.add_argument("--adaptive", action="store_true", help="recompute where refinement is likely to be dearer")
+        a.add_argument("--home", help="folder from which a stopped run goes on")
         a.add_argument("--stream", help="folder of operation files")
         a.add_argument("--checkpoint", help="folder of the stream's offsets")
         a.add_argument("--files-per-batch", type=int, default=1)
@@ -51,6 +58,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--version", type=int, default=0)
     c.add_argument("--features", type=int, default=1)
     c.add_argument("--tolerances", type=int, default=6)
+    c.add_argument("--differences", help="folder for the rows that differ by more than the last tolerance")
+    r = sub.add_parser("replay", help="cut operations into one text folder per batch")
+    r.add_argument("source")
+    r.add_argument("target")
+    r.add_argument("--batch-size", type=int, default=1000)
     return p
 
 
@@ -76,20 +88,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None):
     spark = spark or SparkSession.builder.appName("tidegraph").getOrCreate()
     if a.command == "convert":
         return edgelist.snap_to_adjacency(spark, a.source, a.target, a.symmetric, a.weighted)
+    if a.command == "replay":
+        ops = parse_ops(edgelist.read_lines(spark, a.source)).where("reason IS NULL").drop("reason")
+        return replay(ops, a.batch_size, a.target)
     if a.command == "compare":
         names = [f"v{k}" for k in range(a.features)]
         first, second = (edgelist.read_result(spark, p, a.version, names) for p in (a.first, a.second))
         out = compare(first, second, names, a.tolerances)
         out.show()
+        if a.differences:
+            differences(first, second, names, 10.0 ** -(a.tolerances - 1)).write.mode("overwrite").json(a.differences)
         return out
-    edges = edgelist.read_adjacency(spark, a.graph)[1] if a.adjacency else edgelist.read_edge_list(spark, a.graph, a.weighted)
+    vertices, edges = edgelist.read_adjacency(spark, a.graph) if a.adjacency else (None, edgelist.read_edge_list(spark, a.graph, a.weighted))
     if a.weighted:
         edges = edges.withColumnRenamed("payload", "w").withColumn("w", F.col("w").try_cast("double"))
     if a.symmetric or a.simple:
         from .operators.graph import distinct_edges
 
         edges = symmetrise(edges) if a.symmetric else distinct_edges(edges)
-    engine = Engine(program(spark, a), Graph.of(edges), Options(a.symmetric, a.simple, False, a.fixed_batch_size), a.output, tuple(VALUES[a.command])).start()
+    engine = Engine(program(spark, a), Graph(vertices, edges) if vertices is not None else Graph.of(edges), Options(a.symmetric, a.simple, a.enforce_edge_validity, a.fixed_batch_size), a.output, tuple(VALUES[a.command]), adaptive=Adaptive() if a.adaptive else None, home=a.home).start()
+    if a.ops:
+        engine.replayed(edgelist.read_lines(spark, a.ops), a.batch_size, a.batches, a.weighted)
     if a.stream:
         stream(spark, engine, a.stream, a.checkpoint or f"{a.output}-offsets", a.files_per_batch, a.weighted).awaitTermination()
     return engine

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import Change, Graph, apply, instances, unmatched_deletes
+from .primitives import scan
 
 
 def parse_ops(lines: DataFrame, weighted: bool = False) -> DataFrame:
@@ -27,13 +28,16 @@ def parse_ops(lines: DataFrame, weighted: bool = False) -> DataFrame:
     return lines.select("seq", op.alias("op"), long(1).alias("src"), long(2).alias("dst"), *[F.get(f, F.lit(3)).alias("payload")] * weighted, reason.alias("reason"))
 
 
-def batched(ops: DataFrame, size: int) -> DataFrame:
-    """Adds ``batch``: ``size`` operations each, in seq order; seq is dense in the sources we read, else it is numbered first."""
-    top, n = ops.agg(F.max("seq") - F.min("seq") + 1, F.count(F.lit(1))).first()
-    if top == n:
-        low = ops.agg(F.min("seq")).first()[0]
-        return ops.withColumn("batch", F.floor((F.col("seq") - (low or 0)) / size).cast("long"))
-    return ops.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("seq")) - 1) / size).cast("long"))
+def batched(ops: DataFrame, size: int, fixed: bool = False) -> DataFrame:
+    """Adds ``batch``: ``size`` operations each, in seq order; no task orders all of them.
+
+    Fixed batches hold ``size`` usable operations; unusable ones (``reason``) go with the batch that reads them.
+    """
+    low, top, n = ops.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    if not fixed and n and top - low + 1 == n:
+        return ops.withColumn("batch", F.floor((F.col("seq") - low) / size).cast("long"))
+    one = ops.withColumn("_one", F.col("reason").isNull().cast("long") if fixed else F.lit(1).cast("long"))
+    return scan(one, "seq", "_one", "_read", inclusive=False).withColumn("batch", F.floor(F.coalesce("_read", F.lit(0)) / size).cast("long")).drop("_one", "_read")
 
 
 def cancelled(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +58,11 @@ def distinct_ops(ops: DataFrame, symmetric: bool = False) -> DataFrame:
 
 @dataclass(frozen=True)
 class Options:
+    """``enforce_validity``: deletions of absent edges are reported and taken out; without it they have no effect, unreported."""
+
     symmetric: bool = False
     simple: bool = False
-    enforce_validity: bool = False
+    enforce_validity: bool = True
     fixed_size: bool = False
 
 
@@ -82,9 +88,10 @@ def effective(graph: Graph, ops: DataFrame, options: Options = Options()) -> tup
     out = (F.col("src") >= n) | (F.col("dst") >= n)
     rejected.append(say(deletes.where(out), "out of range"))
     deletes = deletes.where(~out)
-    missing = unmatched_deletes(graph.edges, deletes)
-    rejected.append(say(missing, "no such edge"))
-    deletes = deletes.join(missing.select("seq"), "seq", "left_anti").select(*good.columns)
+    if options.enforce_validity:
+        missing = unmatched_deletes(graph.edges, deletes)
+        rejected.append(say(missing, "no such edge"))
+        deletes = deletes.join(missing.select("seq"), "seq", "left_anti").select(*good.columns)
     if options.simple:
         there = adds.join(graph.edges.select("src", "dst"), ["src", "dst"], "left_semi").select(*good.columns)
         rejected.append(say(there, "edge exists"))
@@ -105,7 +112,7 @@ def replay(ops: DataFrame, size: int, path: str) -> int:
     """Writes operations as one text folder per batch, for a streaming source; returns the number of batches."""
     line = F.concat_ws("\t", "op", "src", "dst", *[c for c in ("payload",) if c in ops.columns])
     rows = batched(ops, size)
-    rows.orderBy("batch", "seq").select("batch", line.alias("value")).repartition("batch").sortWithinPartitions("batch").write.mode("overwrite").partitionBy("batch").text(path)
+    rows.repartition("batch").sortWithinPartitions("batch", "seq").select("batch", line.alias("value")).write.mode("overwrite").partitionBy("batch").text(path)
     return rows.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
 
 

@@ -29,8 +29,8 @@ ORACLES: dict[str, str] = {}
 EV = "ev AS (SELECT user_id AS src, (props::JSON->>'k')::BIGINT AS dst FROM events)"
 NV = f"WITH RECURSIVE {EV}, v AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM ev) + 1)) AS id)"
 OPS = "ops AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, CASE WHEN event_type = 'error' THEN 'd' ELSE 'a' END AS op, user_id AS src, (props::JSON->>'k')::BIGINT AS dst FROM events)"
-#: The evolving case: events of the first half are the graph, the next ``DELTA`` are a batch.
-DELTA = 200
+#: The evolving case: events of the first half are the graph, those of the second half a batch, or so many of the stream.
+BATCHES = 4
 
 
 def query(name: str, sql: str | None = None):
@@ -212,9 +212,10 @@ def g16_rejected(spark, d):
 _PR = "SELECT v.id, 0.15 + 0.85 * coalesce(sum(r.x / dg.n), 0) AS x"
 
 
-def _pagerank_sql(edges: str, head: str, steps: int) -> str:
+def _pagerank_sql(edges: str, head: str, steps: int, epsilon: float = 0.0) -> str:
+    new = "0.15 + 0.85 * coalesce(s.s, 0)"
     return f"{head}, dg AS (SELECT src, count(*) AS n FROM {edges} GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE AS x FROM v)" + "".join(
-        f", r{i} AS (SELECT v.id, 0.15 + 0.85 * coalesce(s.s, 0) AS x FROM v LEFT JOIN (SELECT e.dst, sum(r.x / dg.n) AS s FROM {edges} e JOIN dg ON dg.src = e.src JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst) s ON s.dst = v.id)" for i in range(1, steps + 1)
+        f", r{i} AS (SELECT v.id, CASE WHEN abs({new} - o.x) > {epsilon} THEN {new} ELSE o.x END AS x FROM v JOIN r{i - 1} o ON o.id = v.id LEFT JOIN (SELECT e.dst, sum(r.x / dg.n) AS s FROM {edges} e JOIN dg ON dg.src = e.src JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst) s ON s.dst = v.id)" for i in range(1, steps + 1)
     ) + f" SELECT id, round(x, 6) AS rank FROM r{steps}"
 
 
@@ -224,21 +225,25 @@ def a01_pagerank(spark, d):
 
 
 def evolving(spark, d) -> tuple[g.Graph, g.Change]:
-    """The first half of the events, and the change of the next DELTA operations."""
+    """The first half of the events, and the change of all operations of the second."""
     base, ops = halves(spark, d)
-    first = F.broadcast(ops.agg(F.min("seq").alias("low")))
-    part = ops.join(first).where(F.col("seq") < F.col("low") + DELTA).drop("low")
     graph = g.Graph.of(materialize(base, "base"))
-    change = ingest.process_batch(graph, materialize(part, "part"), ingest.Options(fixed_size=True))[0]
+    change = ingest.process_batch(graph, materialize(ops, "ops"), ingest.Options(fixed_size=True))[0]
     after = g.Graph(change.after.vertices, materialize(change.after.edges, "after"))
-    return graph, g.Change(graph, after, change.added, change.deleted)
+    return graph, g.Change(graph, after, materialize(change.added, "added"), materialize(change.deleted, "deleted"))
 
 
-_HV = (
-    f"WITH RECURSIVE {OPS}, h AS (SELECT max(seq) // 2 AS h FROM ops), base AS (SELECT src, dst FROM ops, h WHERE seq <= h), ad AS (SELECT src, dst FROM ops, h WHERE seq > h AND seq <= h + {DELTA} AND op = 'a'), "
-    f"de AS (SELECT src, dst FROM ops, h WHERE seq > h AND seq <= h + {DELTA} AND op = 'd'), e2 AS ((SELECT * FROM base EXCEPT ALL SELECT * FROM de) UNION ALL SELECT * FROM ad), "
-    "v AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM (SELECT * FROM base UNION ALL SELECT * FROM ad)) + 1)) AS id)"
-)
+_V = "v AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM (SELECT * FROM base UNION ALL SELECT * FROM ad)) + 1)) AS id)"
+_HV = f"{_AFTER}, {_V}".replace("WITH ops", "WITH RECURSIVE ops", 1)
+
+
+def _stream_sql() -> str:
+    """e2 after ``BATCHES`` batches: deletions of a batch meet the edges before it, then its additions come."""
+    sql = f"{_HALF}, n AS (SELECT count(*) AS n, min(seq) AS low FROM ops, h WHERE seq > h), b0 AS (SELECT * FROM base)".replace("WITH ops", "WITH RECURSIVE ops", 1)
+    for k in range(BATCHES):
+        part = f"FROM ops, n WHERE seq >= low AND (seq - low) // (n // {BATCHES} + 1) = {k}"
+        sql += f", b{k + 1} AS ((SELECT * FROM b{k} EXCEPT ALL SELECT src, dst {part} AND op = 'd') UNION ALL SELECT src, dst {part} AND op = 'a')"
+    return f"{sql}, e2 AS (SELECT * FROM b{BATCHES}), {_V}"
 
 
 @query("a02_pagerank_refine", _pagerank_sql("e2", _HV, 5))
@@ -302,7 +307,22 @@ def a06_als(spark, d):
     return r.select("id", F.round("x0", 4).alias("x0"), F.round("x1", 4).alias("x1"))
 
 
-@query("a07_als_start")
+def _hash_sql(source: str) -> str:
+    """The 64-bit hash of a non-negative number as HUGEINT, staged in subqueries."""
+    top = 1 << 64
+    sql = f"SELECT *, ({source})::HUGEINT AS h FROM src"
+    for first, constant, second, shift in scalar.HASH_STEPS:
+        left = f"((h + {constant}) % {top})" if first == "+" else f"xor(h::UBIGINT, {constant}::UBIGINT)::HUGEINT"
+        right = f"((h * {1 << shift}) % {top})" if shift > 0 else f"(h // {1 << -shift})"
+        both = f"(({left} + {right}) % {top})" if second == "+" else f"xor({left}::UBIGINT, {right}::UBIGINT)::HUGEINT"
+        sql = f"SELECT * REPLACE ({both} AS h) FROM ({sql})"
+    return sql
+
+
+_X = " JOIN ".join(f"(SELECT id, (((h + 5) % {1 << 64})::DOUBLE) % 0.00190000001::DOUBLE AS x{i} FROM ({_hash_sql(f'id * 2 + {i}')})) q{i}" + (" USING (id)" if i else "") for i in range(2))
+
+
+@query("a07_als_start", f"{NV}, src AS (SELECT id FROM v) SELECT id, id % 2 = 1 AS part, x0, x1 FROM {_X}")
 def a07_als_start(spark, d):
     p = alg.als()
     return p.init(p.side(ev(spark, d))).select("id", "part", "x0", "x1")
@@ -335,19 +355,31 @@ def k09_paths_refine(spark, d):
     return monotonic.refine(monotonic.run(alg.shortest_paths(0), graph), change).result().select("id", "value", _hops())
 
 
-@query("t01_stream_paths", _paths_sql("e2", _HV, "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
+@query("t01_stream_paths", _paths_sql("e2", _stream_sql(), "(src + dst) % 5 + 1") + " SELECT v.id, coalesce(hop.value, 65535) AS value, coalesce(level, -1) AS level FROM v LEFT JOIN hop ON hop.id = v.id")
 def t01_stream_paths(spark, d):
-    """The change of k09, as a file that a stream reads."""
+    """All operations of the second half as files that a stream reads, one micro-batch each."""
     base, ops = halves(spark, d)
-    first = F.broadcast(ops.agg(F.min("seq").alias("low")))
-    part = ops.join(first).where(F.col("seq") < F.col("low") + DELTA).drop("low", "reason")
+    ops = materialize(ops.drop("reason"), "ops")
     place = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-    ingest.replay(part, DELTA, f"{place}/ops")
+    ingest.replay(ops, ops.count() // BATCHES + 1, f"{place}/ops")
     engine = Engine(alg.shortest_paths(0), g.Graph.of(base), ingest.Options(fixed_size=True)).start()
     stream(spark, engine, f"{place}/ops", f"{place}/offsets").awaitTermination()
     return engine.state.result().select("id", "value", _hops())
 
 
+@query("u13_pagerank_epsilon", _pagerank_sql("ev", NV, 6, 0.01))
+def u13_pagerank_epsilon(spark, d):
+    """Values move only by more than epsilon; the frontier shrinks."""
+    return bsp.run(alg.pagerank(0.01, 6), ev(spark, d)).final.select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("a12_labels_refine", _labels_sql("e2", _HV, 3))
+def a12_labels_refine(spark, d):
+    graph, change = evolving(spark, d)
+    r = bsp.refine(bsp.run(alg.label_propagation(_nations(spark, d), epsilon=0.0, max_iters=3), graph), change).final
+    return r.select("id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
+
+
 @query("a11_components", "WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT s_nationkey AS s, 100 + s_suppkey AS t FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 100 + s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0)), v AS (SELECT unnest(range(0, (SELECT max(greatest(s, t)) FROM e) + 1)) AS id), r AS (SELECT id, id AS c FROM v UNION SELECT e.t, r.c FROM r JOIN e ON e.s = r.id) SELECT id, min(c) AS component FROM r GROUP BY id")
 def a11_components(spark, d):
     s = _table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").cast("long").alias("src"), (F.col("s_suppkey") + 100).alias("dst"))
@@ -400,7 +432,7 @@ def f01_fmod(spark, d):
     return _table(spark, d, "customer").select("c_custkey", ((F.col("c_acctbal") * 1.7777777777) % 0.5).alias("r"), F.abs("c_acctbal").alias("a"))
 
 
-@query("f04_hash")
+@query("f04_hash", f"WITH src AS (SELECT c_custkey FROM customer) SELECT c_custkey, (CASE WHEN h >= {1 << 63} THEN h - {1 << 64} ELSE h END)::BIGINT AS hash FROM ({_hash_sql('c_custkey')})")
 def f04_hash(spark, d):
     return scalar.with_hash(_table(spark, d, "customer").select("c_custkey"), F.col("c_custkey"), "hash")
 
@@ -410,3 +442,46 @@ def f06_inverse(spark, d):
     m = _table(spark, d, "supplier").select("s_suppkey", F.array(F.col("s_suppkey") + 2.0, F.lit(1.0), F.lit(3.0), F.lit(5.0)).alias("m"))
     i = m.withColumn("i", scalar.inverse2(F.col("m")))
     return i.select("s_suppkey", F.round(F.get("i", F.lit(0)), 9).alias("i0"), F.round(F.get("i", F.lit(3)), 9).alias("i3"), F.round(scalar.determinant2(F.col("m")), 6).alias("det"))
+
+
+@query("f05_matrix", "SELECT s_suppkey, s_suppkey + 4.0 AS p0, 3.0 * s_suppkey + 10.0 AS p1, s_suppkey * 2.0 AS o1 FROM supplier")
+def f05_matrix(spark, d):
+    """A 2 x 2 matrix by a vector, and an outer product."""
+    m = _table(spark, d, "supplier").select("s_suppkey", F.array(F.col("s_suppkey").cast("double"), F.lit(2.0), F.col("s_suppkey") * 3.0, F.lit(5.0)).alias("m"), F.array(F.lit(1.0), F.lit(2.0)).alias("v"), F.array(F.col("s_suppkey").cast("double"), F.lit(2.0)).alias("u"))
+    m = m.withColumns({"p": scalar.matmul(F.col("m"), F.col("v"), 2, 2, 1), "o": scalar.outer(F.col("u"), 2)})
+    return m.select("s_suppkey", F.get("p", F.lit(0)).alias("p0"), F.get("p", F.lit(1)).alias("p1"), F.get("o", F.lit(1)).alias("o1"))
+
+
+@query("s01_transpose", f"WITH {EV} SELECT dst AS src, src AS dst, count(*) AS n FROM ev GROUP BY ALL")
+def s01_transpose(spark, d):
+    return g.transpose(events_edges(spark, d)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _file(spark) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/file-{uuid.uuid4().hex}"
+
+
+@query("s02_adjacency_file", f"WITH {SP} SELECT src, dst, count(*) AS n, sum(w) AS w FROM sp GROUP BY ALL")
+def s02_adjacency_file(spark, d):
+    """A weighted adjacency file, written and read again."""
+    path, x = _file(spark), g.Graph.of(sp_edges(spark, d))
+    edgelist.write_adjacency(x.vertices, x.edges.withColumn("payload", F.col("w").cast("string")).drop("w"), path, "payload")
+    back = edgelist.read_adjacency(spark, path)[1]
+    return back.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("payload").cast("double")).alias("w"))
+
+
+@query("s05_edge_list", f"WITH {SP} SELECT src, dst, count(*) AS n, sum(w) AS w FROM sp GROUP BY ALL")
+def s05_edge_list(spark, d):
+    """A weighted edge list with a comment, written and read again."""
+    path = _file(spark)
+    lines = sp_edges(spark, d).select(F.concat_ws("\t", "src", "dst", F.col("w").cast("string")).alias("value"))
+    lines.unionByName(spark.createDataFrame([("# src dst w",)], "value string")).write.text(path)
+    back = edgelist.read_edge_list(spark, path, True)
+    return back.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("payload").cast("double")).alias("w"))
+
+
+@query("g03_fixed_batches", f"WITH {OPS}, k AS (SELECT *, src % 7 <> 0 AS usable FROM ops), c AS (SELECT (sum(usable::INT) OVER (ORDER BY seq) - usable::INT) // 1000 AS batch, usable FROM k) SELECT batch::BIGINT AS batch, count(*) AS n, count(*) FILTER (usable) AS usable FROM c GROUP BY ALL")
+def g03_fixed_batches(spark, d):
+    """Batches of 1000 usable operations; the others go with the batch that reads them."""
+    ops = event_ops(spark, d).withColumn("reason", F.when(F.col("src") % 7 == 0, "left out"))
+    return ingest.batched(ops, 1000, fixed=True).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("usable"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.primitives import scan
 from .storage import materialize
 
 HEADERS = {False: "AdjacencyGraph", True: "WeightedAdjacencyGraph"}
@@ -22,6 +23,20 @@ def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> Da
     return df.select(*columns, *[F.try_element_at(f, F.lit(3)).alias("payload")] * weighted).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
+def in_file_order(lines: DataFrame) -> DataFrame:
+    """(seq, value): lines numbered in the order of files, blocks and places; the numbers grow but have gaps.
+
+    ``lines`` has value, file_path and file_block_start; Spark reads files by size, so only these tell the order.
+    """
+    placed = lines.withColumn("place", F.monotonically_increasing_id())
+    return placed.orderBy("file_path", "file_block_start", "place").select(F.monotonically_increasing_id().alias("seq"), "value")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, value) of a file or folder of operations."""
+    return in_file_order(spark.read.option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start"))
+
+
 def numbered_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(i, t): white-space separated tokens of a file or folder, numbered from 0 in file order.
 
@@ -52,11 +67,11 @@ def read_adjacency(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     if count != 3 + n + m * (2 if weighted else 1):
         raise ValueError(f"{count} tokens do not fit n={n}, m={m}")
     body = tokens.where("i >= 3").select((F.col("i") - 3).cast("long").alias("i"), "t")
-    offsets = body.where(F.col("i") < n).select(F.col("i").alias("src"), F.col("t").cast("long").alias("at"))
-    ends = offsets.withColumn("end", F.coalesce(F.lead("at").over(Window.orderBy("src")), F.lit(m)))
-    sources = ends.where("end > at").select("src", F.explode(F.sequence("at", F.col("end") - 1)).alias("i"))
+    # offsets grow with the source: a target's source is the largest one whose offset is at or before its number. Of
+    # sources with one offset only the last has targets; a running maximum carries it on, by blocks
+    starts = body.where(F.col("i") < n).groupBy(F.col("t").cast("long").alias("i")).agg(F.max("i").alias("src")).where(F.col("i") < m)
     targets = body.where((F.col("i") >= n) & (F.col("i") < n + m)).select((F.col("i") - n).alias("i"), F.col("t").cast("long").alias("dst"))
-    edges = sources.join(targets, "i")
+    edges = scan(targets.join(starts, "i", "left"), "i", "src", "_src", "max").select(F.col("_src").alias("src"), "i", "dst")
     if weighted:
         edges = edges.join(body.where(F.col("i") >= n + m).select((F.col("i") - n - m).alias("i"), F.col("t").alias("payload")), "i")
     return spark.range(n), edges.drop("i")
