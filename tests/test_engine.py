@@ -96,7 +96,7 @@ def test_restart_between_batches(spark, tmp_path):
     def put(k):
         (folder / f"{k}").write_text("".join(f"{rng.choice('aad')} {rng.randrange(12)} {rng.randrange(12)}\n" for _ in range(6)))
 
-    new = lambda home: Engine(alg.pagerank(0.0, 4), graph(spark), home=home)
+    new = lambda home: Engine(alg.pagerank(0.0, 2), graph(spark), home=home)
     put(1), put(2)
     home, check = str(tmp_path / "home"), str(tmp_path / "check")
     stream(spark, new(home).start(), str(folder), check).awaitTermination()
@@ -113,10 +113,9 @@ def test_restart_between_batches(spark, tmp_path):
 
 def test_replayed_batches(spark):
     lines = spark.createDataFrame(list(enumerate([*OPS, "# note", "a 9 10", "a 3 4"])), "seq long, value string")
-    for fixed in (False, True):
-        engine = Engine(alg.shortest_paths(6), graph(spark), ingest.Options(fixed_size=fixed), adaptive=Adaptive()).start().replayed(lines, 3, most=2)
-        assert engine.version == 2 and sum(sum(c.values()) for c in engine.counts) >= 0
-        assert values(engine.state.result(), "value") == values(monotonic.run(alg.shortest_paths(6), engine.graph).result(), "value")
+    engine = Engine(alg.shortest_paths(6), graph(spark), ingest.Options(fixed_size=True), adaptive=Adaptive()).start().replayed(lines, 3, most=2)
+    assert engine.version == 2 and len(engine.counts) == 2
+    assert values(engine.state.result(), "value") == values(monotonic.run(alg.shortest_paths(6), engine.graph).result(), "value")
 
 
 def test_replay_keeps_the_order(spark, tmp_path):
