@@ -53,6 +53,8 @@ RANK, SPARE, POWERS, SEED = 72, 8, 2, 20
 COSINE, IN_SPACE = 0.47, 0.22
 #: Passages to a row of a long document.
 ROW = 4096
+#: Words of the stretches that the check looks at in one step.
+STRETCHES = 1_000_000
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 
@@ -173,6 +175,11 @@ def projected(ends: np.ndarray, terms: np.ndarray, b: Block, basis: np.ndarray)
     return out, row, word, value
 
 
+def spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of every range (``length`` of them from ``first`` on), one range after the other."""
+    return np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
+
+
 def ends_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, ends, terms) of all passages of a batch of rows."""
     starts, terms = batch.column(batch.schema.get_field_index("starts")), batch.column(batch.schema.get_field_index("terms"))
@@ -260,6 +267,7 @@ class Search:
         for k, x in enumerate(b.items):
             self.has[x, k] = 1
         self.words = np.array([len(x) for x in b.items])
+        self.wanted = [Wanted(x.tolist(), a, b.weight) for x, a in zip(b.items, b.answers, strict=True)]
 
     def hits(self, ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's first 8, 16 and 24 the item has."""
@@ -282,12 +290,17 @@ class Search:
             found.append((some[at] + k, item, count[:, at, item].T))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, SPAN // STEP), int))
 
-    def enough(self, region: np.ndarray, k: int) -> bool:
-        """Whether some stretch of the check's length has enough of an item's words."""
-        n, reach = int(self.words[k]), math.ceil(1.5 * int(self.words[k]))
-        seen = np.concatenate(([0], np.cumsum(self.has[region, k], dtype=np.int32)))
-        most = seen[-1] if len(region) <= reach else (seen[reach:] - seen[:-reach]).max()
-        return most >= PARAPHRASE * n
+    def enough(self, inside: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether some window of the check's length has enough of the item's words, for stretches that start at ``begin``.
+
+        ``inside`` tells of every word of all stretches whether its stretch's item has it.
+        """
+        size = np.diff(np.append(begin, len(inside)))
+        seen = np.concatenate(([0], np.cumsum(inside, dtype=np.int32)))
+        reach = np.ceil(1.5 * self.words[item]).astype(np.int64)
+        # a window that the stretch's end cuts has no more than the last whole one
+        until = np.minimum(np.arange(len(inside)) + np.repeat(reach, size), np.repeat(begin + size, size))
+        return np.maximum.reduceat(seen[until] - seen[:-1], begin) >= PARAPHRASE * self.words[item]
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -307,27 +320,47 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def verdict(item: list[int], answer: list[int], region: list[int], weight: np.ndarray) -> tuple[int, float, bool, bool]:
-    """(common subsequence, shared weight, answer found, contaminated) of an item and the best stretch of a region.
+class Wanted:
+    """An item as the check needs it: words, how often and how much each weighs, answer."""
+
+    def __init__(self, item: list[int], answer: list[int], weight: np.ndarray):
+        self.item, self.answer, self.count = item, answer, dict(Counter(item))
+        self.weight = {w: float(weight[w]) for w in self.count}
+        self.total = float(weight[item].sum())
+
+    def verdict(self, region: np.ndarray, inside: np.ndarray) -> tuple[int, float, bool, bool]:
+        """(common subsequence, shared weight, answer found, contaminated) of the item and the best window of a region.
+
+        ``inside`` tells which of the region's words the item has. A window whose words in common are too few, or
+        weigh too little, is passed over before the subsequence is computed.
+        """
+        item, answer, n = self.item, self.answer, len(self.item)
+        reach, step = math.ceil(1.5 * n), max(1, n // 4)
+        best = (0, 0.0, False, False)
+        places = np.flatnonzero(inside)
+        words = region[places].tolist()
+        at = np.arange(0, max(1, len(region) - reach + step), step)
+        low, high = np.searchsorted(places, at), np.searchsorted(places, at + reach)
+        some = high - low >= PARAPHRASE * n
+        # windows that hold the same words of the item are one
+        for x, y in dict.fromkeys(zip(low[some].tolist(), high[some].tolist(), strict=True)):
+            part = words[x:y]
+            both = {w: min(c, self.count[w]) for w, c in Counter(part).items()}
+            if sum(both.values()) < PARAPHRASE * n:
+                continue
+            shared = sum(self.weight[w] * c for w, c in both.items()) / self.total
+            if shared < PARAPHRASE:
+                continue
+            share = (common := lcs(item, part)) / n
+            answered = bool(answer) and lcs(answer, part) >= ANSWER * len(answer)
+            bad = min(share, shared) >= COPY or (answered and min(share, shared) >= PARAPHRASE)
+            best = max(best, (common, shared, answered, bad), key=lambda x: (x[3], x[0]))
+        return best
 
-    A stretch whose words in common are too few, or weigh too little, is passed over before the subsequence is computed.
-    """
-    reach, step = math.ceil(1.5 * len(item)), max(1, len(item) // 4)
-    best = (0, 0.0, False, False)
-    want, total = Counter(item), float(weight[item].sum())
-    for at in range(0, max(1, len(region) - reach + step), step):
-        part = [w for w in region[at : at + reach] if w in want]
-        if len(part) < PARAPHRASE * len(item):
-            continue
-        both = want & Counter(part)
-        shared = sum(float(weight[w]) * n for w, n in both.items()) / total
-        if sum(both.values()) < PARAPHRASE * len(item) or shared < PARAPHRASE:
-            continue
-        share = (n := lcs(item, part)) / len(item)
-        answered = bool(answer) and lcs(answer, part) >= ANSWER * len(answer)
-        bad = min(share, shared) >= COPY or (answered and min(share, shared) >= PARAPHRASE)
-        best = max(best, (n, shared, answered, bad), key=lambda x: (x[3], x[0]))
-    return best
+
+def verdict(item: list[int], answer: list[int], region: list[int], weight: np.ndarray) -> tuple[int, float, bool, bool]:
+    """``Wanted.verdict`` of one item and any text."""
+    return Wanted(item, answer, weight).verdict(np.array(region, np.int32), np.isin(region, item))
 
 
 RESULT = "doc_id long, item_id long, item_words long, lcs_words long, answer_found boolean"
@@ -343,30 +376,37 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
             search = search or Search(b, basis.value)
             row, start, ends, terms = ends_of(batch)
             at, item, words = search.hits(ends, terms)
-            order = np.lexsort((at, item, row[at]))
+            # passages come in order already
+            order = np.argsort(row[at] * len(b.items) + item, kind="stable")
             at, item, words = at[order], item[order], words[order]
             ids = batch.column(0).to_pylist()
+            if not len(at):
+                continue
             # stretches: passages of one row that are candidates for one item and overlap or touch
             same = (row[at][1:] == row[at][:-1]) & (item[1:] == item[:-1])
-            far = start[at][1:] > (start[at] + ends[at + 1] - ends[at])[:-1]
-            cuts = np.flatnonzero(np.concatenate(([True], ~same | far))) if len(at) else np.zeros(0, int)
-            worth = cuts
-            if len(at):
-                # a stretch's words in common: of every passage those before the next one
-                ahead = np.append(np.where(same & ~far, start[at][1:] - start[at][:-1], SPAN), SPAN)
-                common = words[np.arange(len(at)), np.minimum(-(-ahead // STEP), SPAN // STEP) - 1].astype(np.int32)
-                worth = np.flatnonzero(np.add.reduceat(common, cuts) >= PARAPHRASE * search.words[item[cuts]])
-            for x, y in zip(cuts[worth].tolist(), np.append(cuts, len(at))[worth + 1].tolist(), strict=True):
-                k, p = int(item[x]), at[x:y]
-                # of every passage but the last the words before the next one
-                take = np.append(np.diff(start[p]), ends[p[-1] + 1] - ends[p[-1]])
-                begin = np.cumsum(take) - take
-                region = terms[np.arange(int(take.sum())) + np.repeat(ends[p] - begin, take)]
-                if not search.enough(region, k):
-                    continue
-                best = verdict(b.items[k].tolist(), b.answers[k], region.tolist(), b.weight)
-                if best[3]:
-                    rows.append((ids[row[at[x]]], b.ids[k], len(b.items[k]), best[0], best[2]))
+            gap = start[at][1:] - start[at][:-1]
+            same &= gap <= (ends[at + 1] - ends[at])[:-1]
+            cuts = np.flatnonzero(np.append(True, ~same))
+            # a stretch's words: of every passage those before the next one
+            ahead = np.where(np.append(same, False), np.append(gap, 0), SPAN)
+            common = words[np.arange(len(at)), np.minimum(-(-ahead // STEP), SPAN // STEP) - 1].astype(np.int32)
+            worth = np.flatnonzero(np.add.reduceat(common, cuts) >= PARAPHRASE * search.words[item[cuts]])
+            if not len(worth):
+                continue
+            taken = np.minimum(ahead, np.diff(ends)[at])
+            several, length = np.diff(np.append(cuts, len(at)))[worth], np.add.reduceat(taken, cuts)[worth]
+            step = np.cumsum(length) // STRETCHES
+            for some in np.split(np.arange(len(worth)), np.flatnonzero(np.diff(step)) + 1):
+                x, n = cuts[worth[some]], length[some]
+                p = spread(x, several[some])
+                region = terms[spread(ends[at[p]], taken[p])]
+                begin = np.cumsum(n) - n
+                inside = search.has[region, np.repeat(item[x], n)] > 0
+                for k in np.flatnonzero(search.enough(inside, begin, item[x])).tolist():
+                    i, cut = int(item[x[k]]), slice(begin[k], begin[k] + n[k])
+                    best = search.wanted[i].verdict(region[cut], inside[cut])
+                    if best[3]:
+                        rows.append((ids[row[at[x[k]]]], b.ids[i], len(b.items[i]), best[0], best[2]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
 
     # the rows of a long document overlap, and equal items of one id count once
