@@ -342,6 +342,92 @@ def test_decontamination_paraphrases(spark):
     assert all(d % 60 == k for d, k in got - want)  # a stretch that starts elsewhere may pass where the brute force's does not
 
 
+def test_decontamination_shared_pieces(monkeypatch):
+    """Rows hold a covered word once; products with A, A'A and the words in common over shared pieces equal those passage by passage."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Local:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            texts = [prose(n) for n in (1, 5, 23, 24, 25, 31, 32, 33, 40, 47, 300, 900)] + ["", None, "zz " * 300]
+            self.texts = [None if t is None else "qq " * (k % 7) + t[: len(t) // 2] + " ww" * 70 + t[len(t) // 2 :] if k > 8 else t for k, t in enumerate(texts)]
+            return list(run([pa.record_batch({"doc_id": range(len(texts)), "text": self.texts})]))
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    monkeypatch.setattr(op5, "ROW", 20)
+    block = op5.Block([(k, prose(n)) for k, n in enumerate((10, 13, 6))])
+    rng = np.random.default_rng(3)
+    block.weigh(1000, rng.integers(1, 900, len(block.number)).astype(float))
+    docs = Local()
+    (batch,) = op5.passages(docs, Value(block))
+    square = np.append(block.weight**2, block.other**2)
+    want = {}
+    for d, t in enumerate(docs.texts):
+        x = block.numbers((t or "").encode())
+        for s in op5.span_starts(len(x)).tolist():
+            w = x[s : s + op5.SPAN]
+            if square[w[w >= 0]].sum() >= op5.IN_SPACE * square[w].sum():
+                want[d, s] = w.tolist()
+    got, rows = {}, batch.to_pylist()
+    for r in rows:
+        covered = {s + j for s in r["starts"] for j in range(len(want[r["doc_id"], s]))}
+        assert len(r["terms"]) == len(covered)
+    row, start, begin, end, terms = op5.spans_of(batch)
+    for k, s, x, y in zip(row.tolist(), start.tolist(), begin.tolist(), end.tolist(), strict=True):
+        got[rows[k]["doc_id"], s] = terms[x:y].tolist()
+    assert got == want and len(want) < sum(len(op5.span_starts(len((t or "").split()))) for t in docs.texts)
+    assert len({r["doc_id"] for r in rows}) < len(rows)  # a document of several rows
+    basis = rng.standard_normal((len(block.number), 30)).astype(np.float32)
+    a = np.zeros((len(row), len(block.number)))
+    for k, (x, y) in enumerate(zip(begin, end, strict=True)):
+        w = terms[x:y]
+        np.add.at(a[k], w[w >= 0], block.weight[w[w >= 0]] / np.sqrt(square[w].sum()))
+    total = np.zeros(basis.shape, np.float32)
+    op5.add_gram(total, begin, end, terms, op5.weighted(block, basis), square)
+    assert np.allclose(op5.weighted(block, total), a.T @ (a @ basis), rtol=1e-4, atol=1e-3)
+    search = op5.Search(block, basis)
+    at, item, words = search.hits(end, terms, begin)
+    cosine = op5.unit(a @ basis) @ search.vectors
+    sure = np.abs(cosine - op5.COSINE) > 1e-4
+    hit = np.zeros(cosine.shape, bool)
+    hit[at, item] = True
+    assert len(at) and (hit == (cosine >= op5.COSINE))[sure].all()
+    for p, i, counts in zip(at.tolist(), item.tolist(), words.tolist(), strict=True):
+        inside = np.isin(terms[begin[p] : end[p]], block.items[i])
+        assert counts == [inside[:n].sum() for n in (8, 16, 24)]
+
+
+def test_decontamination_stretches_without_weight():
+    """Stretches of many but light words are passed over for a whole batch; none that the check accepts is."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{int(60 * x**3)}" for x in rng.random(24)) + ". " + " ".join(f"a{k}{j}" for j in range(5))) for k in range(20)]
+    block = op5.Block(items)
+    block.weigh(1000, np.array([900.0 if w.startswith(b"w") else 2.0 for w in block.number]))
+    search = op5.Search(block, np.eye(len(block.number), dtype=np.float32))
+    regions, item = [], []
+    for k in np.repeat(np.arange(20), 30):
+        x = block.items[k].copy()
+        x[rng.random(len(x)) < rng.random() / 2] = op5.OTHER
+        light = x[block.weight[x] < 1] if rng.random() < 0.5 else x
+        regions.append(np.concatenate([rng.integers(-1, len(block.number), rng.integers(0, 40)), light, light]))
+        item.append(k)
+    item, size = np.array(item), np.array([len(r) for r in regions])
+    region, begin = np.concatenate(regions), np.cumsum(size) - size
+    inside = search.has[region, np.repeat(item, size)] > 0
+    enough = set(search.enough(region, inside, begin, item).tolist())
+    accepted = {k for k, r in enumerate(regions) if op5.verdict(block.items[item[k]].tolist(), block.answers[item[k]], r.tolist(), block.weight)[3]}
+    many = set(np.flatnonzero(search.best(inside, begin, item) >= op5.PARAPHRASE * search.words[item]).tolist())
+    assert accepted <= enough < many and accepted
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -17,10 +17,12 @@ items, so what is broadcast has a fixed bound. For a block:
    longest common subsequence, shared weight, and the item's answer (its last sentence):
    a copy, or a paraphrase that keeps the answer, is contaminated. Before that, stretches
    fall away that have too few of the item's words for any common subsequence that the
-   check accepts: the check would refuse them all.
+   check accepts, or whose words of the item weigh too little: the check would refuse
+   them all.
 
 A document's passages are one row (cut, with an overlap that holds any item's stretch, at
-``ROW`` passages), so search and check are one step without a shuffle.
+``ROW`` passages), so search and check are one step without a shuffle. The row has each word
+that its passages cover once; overlapping passages are sums over shared pieces (``Pieces``).
 
 Words are split at ASCII white space and punctuation, A-Z lower-cased. Null or empty
 texts and items match nothing; for ids see ``common.identified``. Equal items of one id
@@ -55,6 +57,10 @@ COSINE, IN_SPACE = 0.47, 0.22
 ROW = 4096
 #: Words of the stretches that the check looks at in one step.
 STRETCHES = 1_000_000
+#: Rows that ``sums`` adds up one after the other; longer sums are sums of sums.
+LAYERS = 16
+#: What a square counts in ``passages``: whole numbers, so that a passage's share does not depend on the texts before it.
+UNIT = 2**24
 #: Verification: shares of an item's words and weight for a copy, and for a paraphrase with its answer.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.55, 0.8
 
@@ -120,80 +126,146 @@ def frequencies(docs: DataFrame, block) -> tuple[int, np.ndarray]:
 
 def span_starts(n: int) -> np.ndarray:
     """Where the spans of a text of n words start: every STEP, and the last one at the end."""
-    if n <= SPAN:
-        return np.zeros(min(n, 1), np.int64)
-    return np.append(np.arange(0, n - SPAN, STEP), n - SPAN)
+    return np.minimum(np.arange(int(span_counts(np.array([n]))[0])) * STEP, max(n - SPAN, 0))
+
+
+def span_counts(n: np.ndarray) -> np.ndarray:
+    """How many spans texts of n words have."""
+    return np.where(n > SPAN, -(-(n - SPAN) // STEP) + 1, np.minimum(n, 1))
+
+
+def spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of every range (``length`` of them from ``first`` on), one range after the other."""
+    return np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
 
 
 def passages(docs: DataFrame, block) -> DataFrame:
     """(doc_id, starts, terms): the passages of a document that enter the space.
 
-    ``terms`` are their word numbers one after the other, OTHER for foreign words; all passages of a row are equally long.
+    ``terms`` are the numbers of the words that they cover, each once and in order, OTHER for foreign words; all passages
+    of a row are equally long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
-        square = np.append(b.weight**2, b.other**2)  # the last one is OTHER's
+        square = np.rint(np.append(b.weight**2, b.other**2) * UNIT).astype(np.int64)  # the last one is OTHER's
         # passages that a row repeats from the row before: any stretch that the check looks at lies in one row
         again = -(-2 * max(map(len, b.items), default=0) // STEP) + SPAN // STEP
         for ids, texts in groups(batches):
-            docs, starts, terms = [], [], []
-            for i, t in zip(ids, texts, strict=True):
-                x = b.numbers(t)
-                at = span_starts(len(x))
-                if not len(at):
-                    continue
-                w = square[x]
-                total = np.concatenate(([0.0], np.cumsum(w)))
-                own = np.concatenate(([0.0], np.cumsum(np.where(x >= 0, w, 0.0))))
-                end = np.minimum(at + SPAN, len(x))
-                at = at[own[end] - own[at] >= IN_SPACE * (total[end] - total[at])]
-                for k in range(0, len(at), ROW):
-                    part = at[k : k + ROW + again]
-                    docs.append(i)
-                    starts.append(part)
-                    terms.append(x[part[:, None] + np.arange(min(SPAN, len(x)))].ravel())
-            if docs:
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]).astype(np.int32)), pa.array(np.concatenate(c).astype(np.int32))) for c in (starts, terms)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *lists], names=["doc_id", "starts", "terms"])
+            x = [b.numbers(t) for t in texts]
+            size = np.array([len(t) for t in x])
+            x, begin, many = np.concatenate(x), np.cumsum(size) - size, span_counts(size)
+            w = square[x]
+            total = np.concatenate(([0], np.cumsum(w)))
+            own = np.concatenate(([0], np.cumsum(np.where(x >= 0, w, 0))))
+            doc = np.repeat(np.arange(len(size)), many)
+            start = np.minimum(spread(np.zeros(len(many), np.int64), many) * STEP, np.maximum(size - SPAN, 0)[doc])
+            low = begin[doc] + start
+            high = np.minimum(low + SPAN, (begin + size)[doc])
+            enters = own[high] - own[low] >= IN_SPACE * (total[high] - total[low])
+            doc, start = doc[enters], start[enters]
+            # rows: of every document ROW passages after the other, and those repeated
+            many = np.bincount(doc, minlength=len(size))
+            rows = -(-many // ROW)
+            of = np.repeat(np.arange(len(size)), rows)
+            skip = spread(np.zeros(len(rows), np.int64), rows) * ROW
+            length = np.minimum(many[of] - skip, ROW + again)
+            start = start[spread((np.cumsum(many) - many)[of] + skip, length)]
+            if not len(start):
+                continue
+            ends = np.cumsum(length)
+            taken = np.minimum(np.append(np.diff(start), 0), np.repeat(np.minimum(size[of], SPAN), length))
+            taken[ends - 1] = np.minimum(size[of], SPAN)
+            terms = x[spread(np.repeat(begin[of], length) + start, taken)]
+            covered = np.concatenate(([0], np.cumsum(taken)))
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(c.astype(np.int32))) for at, c in ((np.append(0, ends), start), (covered[np.append(0, ends)], terms))]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in of.tolist()], pa.int64()), *lists], names=["doc_id", "starts", "terms"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, starts array<int>, terms array<int>")
 
 
-def projected(ends: np.ndarray, terms: np.ndarray, b: Block, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of A times ``basis``, and A's entries (row, word, value), for passages given as one array of terms."""
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    square = np.append(b.weight**2, b.other**2)[terms]
-    norm = np.sqrt(np.bincount(row, square, len(ends) - 1)) + 1e-12
-    own = terms >= 0
-    row, word = row[own], terms[own]
-    value = (b.weight[word] / norm[row]).astype(np.float32)
-    out = np.zeros((len(ends) - 1, basis.shape[1]), np.float32)
-    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, int)
-    if len(row):
-        out[row[first]] = np.add.reduceat(basis[word] * value[:, None], first, axis=0)
-    return out, row, word, value
-
-
-def spread(first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The numbers of every range (``length`` of them from ``first`` on), one range after the other."""
-    return np.arange(int(length.sum())) + np.repeat(first - (np.cumsum(length) - length), length)
-
-
-def ends_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, ends, terms) of all passages of a batch of rows."""
+def spans_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, begin, end, terms) of all passages of a batch of rows; passage p is ``terms[begin[p] : end[p]]``."""
     starts, terms = batch.column(batch.schema.get_field_index("starts")), batch.column(batch.schema.get_field_index("terms"))
-    n, sizes = np.diff(starts.offsets.to_numpy()), np.diff(terms.offsets.to_numpy())
-    row = np.repeat(np.arange(len(n)), n)
-    length = np.repeat(sizes // np.maximum(n, 1), n)
-    return row, starts.flatten().to_numpy(), np.concatenate(([0], np.cumsum(length))), terms.flatten().to_numpy()
-
-
-def _spans(ends: np.ndarray, terms: np.ndarray, most: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first passage, ends, terms) of stretches short enough for their numbers to stay in the cache."""
-    for k in range(0, len(ends) - 1, most):
-        e = ends[k : k + most + 1]
-        yield k, e - e[0], terms[e[0] : e[-1]]
+    n, bounds = np.diff(starts.offsets.to_numpy()), terms.offsets.to_numpy()
+    row, start = np.repeat(np.arange(len(n)), n), starts.flatten().to_numpy()
+    size = np.minimum(np.diff(bounds), SPAN)[row]
+    ahead = np.where(np.diff(row, append=-1) == 0, np.minimum(np.diff(start, append=0), size), size)
+    end = np.cumsum(ahead) - ahead + size
+    return row, start, end - size, end, terms.flatten().to_numpy()
+
+
+def sums(rows: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """For every k the sum of the n[k] rows from first[k] on, or of the rows that ``at`` has there."""
+    most = int(n.max(initial=0))
+    if most > LAYERS:
+        parts = -(-n // LAYERS)
+        k, skip = np.repeat(np.arange(len(n)), parts), spread(np.zeros(len(n), np.int64), parts) * LAYERS
+        return sums(sums(rows, first[k] + skip, np.minimum(n[k] - skip, LAYERS), at), np.cumsum(parts) - parts, parts)
+    order = np.argsort((most - n).astype(np.uint8), kind="stable")
+    first = first[order]
+    out = np.zeros((len(n), rows.shape[1]), rows.dtype)
+    for j, m in enumerate((len(n) - np.cumsum(np.bincount(n, minlength=most + 1)))[:most].tolist()):
+        k = first[:m] + j
+        out[:m] += rows.take(k if at is None else at[k], axis=0)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.take(back, axis=0)
+
+
+class Pieces:
+    """Passages cut every STEP words, and where another one begins or ends: each piece's words are added up once for all."""
+
+    def __init__(self, begin: np.ndarray, end: np.ndarray, terms: np.ndarray):
+        self.marks = np.minimum(begin[:, None] + np.arange(0, SPAN + 1, STEP), end[:, None])
+        self.marks[:, -1] = end
+        cut = np.zeros(len(terms) + 1, bool)
+        cut[self.marks] = True
+        #: Pieces at whose beginning a passage's marks are.
+        self.marks = (np.cumsum(cut) - 1)[self.marks]
+        own = terms >= 0
+        self.words = terms[own]
+        seen = np.concatenate(([0], np.cumsum(own)))[cut]
+        self.first, self.n = seen[:-1], np.diff(seen)
+
+    def rows(self, by_word: np.ndarray) -> np.ndarray:
+        """Sums of the words' rows, by piece."""
+        return sums(by_word, self.first, self.n, self.words)
+
+    def passages(self, by_piece: np.ndarray, mark: int = 0, until: int = -1) -> np.ndarray:
+        """Sums of the pieces' rows, by passage, from one mark to another."""
+        return sums(by_piece, self.marks[:, mark], self.marks[:, until] - self.marks[:, mark])
+
+    def add_back(self, total: np.ndarray, by_passage: np.ndarray) -> None:
+        """Adds every passage's row to those of its words."""
+        k = np.arange(len(self.n))
+        low, high = np.searchsorted(self.marks[:, -1], k, "right"), np.searchsorted(self.marks[:, 0], k, "right")
+        by_piece = sums(by_passage, low, high - low)
+        # numbers of 16 bits are sorted by radix
+        order = np.argsort(self.words.astype(np.uint16) if len(total) <= 2**16 else self.words, kind="stable")
+        word = self.words[order]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        total[word[first]] += sums(by_piece, first, np.diff(first, append=len(word)), np.repeat(k, self.n)[order])
+
+
+def _blocks(begin: np.ndarray, end: np.ndarray, terms: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first passage, begin, end, terms) of stretches short enough for their numbers to stay in the cache."""
+    for k in range(0, len(begin), most):
+        x, y = begin[k : k + most], end[k : k + most]
+        yield k, x - x[0], y - x[0], terms[x[0] : y[-1]]
+
+
+def weighted(b: Block, basis: np.ndarray) -> np.ndarray:
+    """The rows that a passage's words add to its product with ``basis``, but for the passage's own norm."""
+    return (basis * b.weight[:, None]).astype(np.float32)
+
+
+def add_gram(total: np.ndarray, begin: np.ndarray, end: np.ndarray, terms: np.ndarray, by_word: np.ndarray, square: np.ndarray) -> None:
+    """Adds A'A times the basis of ``by_word``, but for the words' weights, for A's rows of these passages."""
+    for _, x, y, t in _blocks(begin, end, terms, 1000):
+        pieces, seen = Pieces(x, y, t), np.concatenate(([0.0], np.cumsum(square[t])))
+        z = pieces.passages(pieces.rows(by_word))
+        pieces.add_back(total, z / (seen[y] - seen[x] + 1e-12).astype(np.float32)[:, None])
 
 
 def gram(found: DataFrame, block, basis) -> np.ndarray:
@@ -202,16 +274,11 @@ def gram(found: DataFrame, block, basis) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, q = block.value, basis.value
+        by_word, square = weighted(b, q), np.append(b.weight**2, b.other**2)
         total = np.zeros(q.shape, np.float32)
         for batch in batches:
-            for _, ends, terms in _spans(*ends_of(batch)[2:]):
-                z, row, word, value = projected(ends, terms, b, q)
-                order = np.argsort(word, kind="stable")
-                word = word[order]
-                if len(word):
-                    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                    total[word[first]] += np.add.reduceat(z[row[order]] * value[order, None], first, axis=0)
-        cut = [x.tobytes() for x in np.array_split(total, slices)]
+            add_gram(total, *spans_of(batch)[2:], by_word, square)
+        cut = [x.tobytes() for x in np.array_split(weighted(b, total), slices)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "part"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -232,12 +299,14 @@ def latent_basis(spark: SparkSession, found: DataFrame, block) -> np.ndarray:
     width = min(n, RANK + SPARE)
     terms = np.concatenate([*b.items, np.zeros(0, np.int32)])
     ends = np.cumsum([0, *map(len, b.items)])
+    square = np.append(b.weight**2, b.other**2)
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, width)))[0]
     for step in range(POWERS):
         shared = spark.sparkContext.broadcast(q.astype(np.float32))
         y = gram(found, block, shared)
-        z, row, word, value = projected(ends, terms, b, shared.value)
-        np.add.at(y, word, z[row] * value[:, None])
+        items = np.zeros(q.shape, np.float32)
+        add_gram(items, ends[:-1], ends[1:], terms, weighted(b, shared.value), square)
+        y += weighted(b, items)
         shared.unpersist()
         if step == POWERS - 1:
             small = q.T @ y
@@ -258,49 +327,61 @@ class Search:
     """What a task needs to find a block's items: their vectors, and which of them have which words (BLOCK x words bytes)."""
 
     def __init__(self, b: Block, basis: np.ndarray):
-        self.b, self.basis = b, basis
-        pieces = [vectors_of(x) for x in b.items]
-        parts = [x for ps in pieces for x in ps]
-        self.vectors = unit(projected(np.cumsum([0, *map(len, parts)]), np.concatenate(parts), b, basis)[0]).T.copy()
-        self.heads = np.cumsum([0, *map(len, pieces)])[:-1] if len(parts) > len(pieces) else None
+        self.by_word = weighted(b, basis)
+        vectors = [vectors_of(x) for x in b.items]
+        parts = [x for vs in vectors for x in vs]
+        ends, terms = np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
+        self.vectors = unit(sums(self.by_word, ends[:-1], np.diff(ends), terms)).T.copy()
+        self.heads = np.cumsum([0, *map(len, vectors)])[:-1] if len(parts) > len(vectors) else None
         self.has = np.zeros((len(b.number) + 1, len(b.items)), np.uint8)  # the last row is OTHER's
         for k, x in enumerate(b.items):
             self.has[x, k] = 1
         self.words = np.array([len(x) for x in b.items])
+        self.weight, self.total = np.append(b.weight, 0.0), np.array([b.weight[x].sum() for x in b.items])
         self.wanted = [Wanted(x.tolist(), a, b.weight) for x, a in zip(b.items, b.answers, strict=True)]
 
-    def hits(self, ends: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's first 8, 16 and 24 the item has."""
+    def hits(self, ends: np.ndarray, terms: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, words) of pairs whose latent cosine reaches COSINE for one of the item's vectors; words: how many of the passage's first 8, 16 and 24 the item has.
+
+        Passages lie one after the other between ``ends``, or begin at ``begin`` and overlap.
+        """
+        begin, end = (ends[:-1], ends[1:]) if begin is None else (begin, ends)
         found = []
-        for k, e, t in _spans(ends, terms, 500):
-            cosine = unit(projected(e, t, self.b, self.basis)[0]) @ self.vectors
+        for k, x, y, t in _blocks(begin, end, terms, 500):
+            pieces = Pieces(x, y, t)
+            cosine = unit(pieces.passages(pieces.rows(self.by_word))) @ self.vectors
             if self.heads is not None:
                 cosine = np.maximum.reduceat(cosine, self.heads, axis=1)
-            hit = cosine >= COSINE
-            some = np.flatnonzero(hit.any(axis=1))
-            if not len(some):
+            pair = np.flatnonzero(cosine >= COSINE)
+            if not len(pair):
                 continue
-            hit, size = hit[some], int(e[1] - e[0])
-            if (np.diff(e) == size).all():
-                thirds = [self.has[x].sum(axis=1, dtype=np.uint8) for x in np.split(t.reshape(-1, size)[some], range(STEP, size, STEP), axis=1)]
-            else:
-                thirds = [np.stack([self.has[t[e[p] : e[p + 1]]].sum(axis=0, dtype=np.uint8) for p in some])]
-            count = np.cumsum([*thirds, *[np.zeros_like(thirds[0])] * (SPAN // STEP - len(thirds))], axis=0, dtype=np.uint8)
-            at, item = np.nonzero(hit)
-            found.append((some[at] + k, item, count[:, at, item].T))
+            has = pieces.rows(self.has)
+            words = [pieces.passages(has, j, j + 1).ravel()[pair] for j in range(SPAN // STEP)]
+            at, item = np.divmod(pair, len(self.words))
+            found.append((at + k, item, np.cumsum(words, axis=0, dtype=np.uint8).T))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros((0, SPAN // STEP), int))
 
-    def enough(self, inside: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Whether some window of the check's length has enough of the item's words, for stretches that start at ``begin``.
+    def best(self, value: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The largest sum in a window of the check's length, for stretches that start at ``begin``; ``value``: of every word of all stretches."""
+        size = np.diff(np.append(begin, len(value)))
+        seen = np.concatenate(([0], np.cumsum(value, dtype=np.int32 if value.dtype == bool else float)))
+        reach = np.ceil(1.5 * self.words[item]).astype(np.int64)
+        # a window that the stretch's end cuts has no more than the last whole one
+        until = np.minimum(np.arange(len(value)) + np.repeat(reach, size), np.repeat(begin + size, size))
+        return np.maximum.reduceat(seen[until] - seen[:-1], begin)
+
+    def enough(self, region: np.ndarray, inside: np.ndarray, begin: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The stretches of which some window has enough of the item's words for the check, in number and in weight.
 
         ``inside`` tells of every word of all stretches whether its stretch's item has it.
         """
-        size = np.diff(np.append(begin, len(inside)))
-        seen = np.concatenate(([0], np.cumsum(inside, dtype=np.int32)))
-        reach = np.ceil(1.5 * self.words[item]).astype(np.int64)
-        # a window that the stretch's end cuts has no more than the last whole one
-        until = np.minimum(np.arange(len(inside)) + np.repeat(reach, size), np.repeat(begin + size, size))
-        return np.maximum.reduceat(seen[until] - seen[:-1], begin) >= PARAPHRASE * self.words[item]
+        some = np.flatnonzero(self.best(inside, begin, item) >= PARAPHRASE * self.words[item])
+        if not len(some):
+            return some
+        n = np.diff(np.append(begin, len(region)))[some]
+        at = spread(begin[some], n)
+        weight = self.best(np.where(inside[at], self.weight[region[at]], 0.0), np.cumsum(n) - n, item[some])
+        return some[weight >= PARAPHRASE * self.total[item[some]] - 1e-6]  # sums of many weights are not exact
 
 
 def unit(z: np.ndarray) -> np.ndarray:
@@ -374,8 +455,8 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
         b, search, rows = block.value, None, []
         for batch in batches:
             search = search or Search(b, basis.value)
-            row, start, ends, terms = ends_of(batch)
-            at, item, words = search.hits(ends, terms)
+            row, start, begin, end, terms = spans_of(batch)
+            at, item, words = search.hits(end, terms, begin)
             # passages come in order already
             order = np.argsort(row[at] * len(b.items) + item, kind="stable")
             at, item, words = at[order], item[order], words[order]
@@ -385,7 +466,8 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
             # stretches: passages of one row that are candidates for one item and overlap or touch
             same = (row[at][1:] == row[at][:-1]) & (item[1:] == item[:-1])
             gap = start[at][1:] - start[at][:-1]
-            same &= gap <= (ends[at + 1] - ends[at])[:-1]
+            size = (end - begin)[at]
+            same &= gap <= size[:-1]
             cuts = np.flatnonzero(np.append(True, ~same))
             # a stretch's words: of every passage those before the next one
             ahead = np.where(np.append(same, False), np.append(gap, 0), SPAN)
@@ -393,17 +475,17 @@ def leaks(found: DataFrame, block, basis) -> DataFrame:
             worth = np.flatnonzero(np.add.reduceat(common, cuts) >= PARAPHRASE * search.words[item[cuts]])
             if not len(worth):
                 continue
-            taken = np.minimum(ahead, np.diff(ends)[at])
+            taken = np.minimum(ahead, size)
             several, length = np.diff(np.append(cuts, len(at)))[worth], np.add.reduceat(taken, cuts)[worth]
             step = np.cumsum(length) // STRETCHES
             for some in np.split(np.arange(len(worth)), np.flatnonzero(np.diff(step)) + 1):
                 x, n = cuts[worth[some]], length[some]
                 p = spread(x, several[some])
-                region = terms[spread(ends[at[p]], taken[p])]
-                begin = np.cumsum(n) - n
+                region = terms[spread(begin[at[p]], taken[p])]
+                head = np.cumsum(n) - n
                 inside = search.has[region, np.repeat(item[x], n)] > 0
-                for k in np.flatnonzero(search.enough(inside, begin, item[x])).tolist():
-                    i, cut = int(item[x[k]]), slice(begin[k], begin[k] + n[k])
+                for k in search.enough(region, inside, head, item[x]).tolist():
+                    i, cut = int(item[x[k]]), slice(head[k], head[k] + n[k])
                     best = search.wanted[i].verdict(region[cut], inside[cut])
                     if best[3]:
                         rows.append((ids[row[at[x[k]]]], b.ids[i], len(b.items[i]), best[0], best[2]))
