@@ -6,8 +6,12 @@ import random
 import re
 import struct
 import zlib
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidegraph.llm import op1_substring_dedup as op1
@@ -130,6 +134,37 @@ def test_ngram_jaccard_lone_in_part(spark):
     assert got == dict.fromkeys(ids, min(ids))
 
 
+def test_ngram_jaccard_small_batches(spark, monkeypatch):
+    """Keys go back, and rows go to the workers, a bounded amount at a time, whatever the session says; the setting comes back."""
+    pack, own = zstandard.ZstdCompressor().compress, random.Random(2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([pack(" ".join(own.choices(WORDS, k=200 + 5 * i)).encode()) for i in range(60)])], names=["uid", "packed"])
+    common = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    whole = pa.Table.from_batches(op10.keys(common, op10.THRESHOLD, 5)(iter([batch])))
+    monkeypatch.setattr(op10, "BATCH_KEYS", 700, raising=False)
+    parts = list(op10.keys(common, op10.THRESHOLD, 5)(iter([batch.slice(0, 25), batch.slice(25)])))
+    assert max(x.num_rows for x in parts) <= 700 < whole.num_rows
+    assert pa.Table.from_batches(parts).combine_chunks().equals(whole.combine_chunks())
+
+    seen, written = [], op10.written
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+
+    def watched(df, name):
+        if not seen:
+            rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(md5(string(id)), 300) AS text")
+            seen.append(max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()))
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return written(df, name)
+
+    monkeypatch.setattr(op10, "written", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "50m")
+    try:
+        op10.similar_groups(docs(spark, [SHARED, SHARED + " more", LONG])).count()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "50m"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert seen[0] < 2 * op10.BATCH_BYTES and set(seen[1:]) == {str(op10.BATCH_BYTES)}
+
+
 def test_pigeonhole_lemma():
     """Any two similar sets share an emitted key, whatever pieces are called common."""
     import numpy as np

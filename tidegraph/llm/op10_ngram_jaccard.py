@@ -34,6 +34,7 @@ nothing. Ids: see ``common.identified``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,25 @@ SALTS, PART = 64, 50_000
 PIVOTS, WORTH = 16, 100
 #: Bits of the compact sketch that filters pairs inside the last join.
 BITS = 1024
+#: Bytes of rows that a worker gets and keys that it hands back at a time. Such batches lie outside the heap, in the
+#: executor as in the worker, and a pair's two whole texts are up to some 100 KB; they change no result.
+BATCH_BYTES, BATCH_KEYS = 2_000_000, 100_000
+#: The setting behind BATCH_BYTES.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Steps that run meanwhile hand about BATCH_BYTES at a time to a worker."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -185,21 +205,31 @@ def keys(common, threshold: tuple[int, int], shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         late, parts = common.value
+
+        def dealt(out: list[np.ndarray], uids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys, owners = np.concatenate(out), np.concatenate(uids)
+            for at in range(0, len(keys), BATCH_KEYS):
+                key, uid = keys[at : at + BATCH_KEYS], owners[at : at + BATCH_KEYS]
+                salt = np.zeros(len(key), np.int64)
+                often = among(key, late)
+                part = (uid[often].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+                salt[often] = part % parts[np.searchsorted(late, key[often])] + np.uint64(1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(uid)], names=["key", "salt", "uid"])
+
+        out, uids, held = [], [], 0
         for batch in batches:
-            out, uids = [], []
             for uid, packed in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
                 s = shingle_set(unpack(packed), shingle)
                 if len(s):
                     for k in emitted(s, late, threshold):
                         out.append(k)
                         uids.append(np.full(len(k), uid, np.int64))
-            if out:
-                key, uid = np.concatenate(out), np.concatenate(uids)
-                salt = np.zeros(len(key), np.int64)
-                often = among(key, late)
-                dealt = (uid[often].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-                salt[often] = dealt % parts[np.searchsorted(late, key[often])] + np.uint64(1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(uid)], names=["key", "salt", "uid"])
+                        held += len(k)
+                if held >= BATCH_KEYS:
+                    yield from dealt(out, uids)
+                    out, uids, held = [], [], 0
+        if out:
+            yield from dealt(out, uids)
 
     return run
 
@@ -267,6 +297,11 @@ def met(rows: DataFrame, drawn: DataFrame, turn: int, threshold: tuple[int, int]
 
 def similar_groups(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every identified document."""
+    with small_batches(docs.sparkSession):
+        return _similar_groups(docs, threshold, shingle)
+
+
+def _similar_groups(docs: DataFrame, threshold: tuple[int, int], shingle: int) -> DataFrame:
     spark = docs.sparkSession
     docs = identified(docs)
     signed = written(docs.mapInArrow(signatures(threshold, shingle), "doc_id long, h1 long, h2 long, n long"), "signatures")
